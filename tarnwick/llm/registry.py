@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarnwick.llm import queries_models, queries_native
+from tarnwick.llm import queries_corpus, queries_models, queries_native
 
-_MODULES = [queries_native, queries_models]
+_MODULES = [queries_native, queries_models, queries_corpus]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
