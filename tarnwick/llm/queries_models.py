@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm import language_id
+from tarnwick.llm import language_id, toxicity
 
 
 def fold(column: str, folds: int):
@@ -22,5 +22,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op9_language_id": op9_language_id}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; fold 0 of 5 is never learnt from."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.fit(docs.join(labels.where(~out), "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op5_toxicity": op5_toxicity, "op9_language_id": op9_language_id}
 ORACLE_SQL: dict = {}
