@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarnwick.llm import queries_corpus, queries_models, queries_native
+from tarnwick.llm import queries_corpus, queries_models, queries_native, queries_packing
 
-_MODULES = [queries_native, queries_models, queries_corpus]
+_MODULES = [queries_native, queries_models, queries_corpus, queries_packing]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
