@@ -1,11 +1,16 @@
-"""Queries of the operators that compare texts: decontamination."""
+"""Queries of the operators that compare texts: n-gram Jaccard join, decontamination."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm import decontamination
+from tarnwick.llm import decontamination, jaccard_join
+
+
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingle count and component of near duplicates."""
+    return jaccard_join.jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +24,5 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_decontamination": op4_decontamination}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op4_decontamination": op4_decontamination}
 ORACLE_SQL: dict = {}
