@@ -50,9 +50,19 @@ class Rolling:
     """Hashes of any slice of a byte array in constant time each (polynomial modulo 2**64 over random byte values)."""
 
     def __init__(self, data: np.ndarray):
-        self.n = len(data)
+        self._fill(_BYTE[data])
+
+    @classmethod
+    def over(cls, hashes: np.ndarray) -> Rolling:
+        """The same for an array of hashes instead of bytes."""
+        made = cls.__new__(cls)
+        made._fill(hashes)
+        return made
+
+    def _fill(self, values: np.ndarray) -> None:
+        self.n = len(values)
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _UP.upto(self.n), out=self.sums[1:])
+        np.cumsum(values * _UP.upto(self.n), out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         raw = (self.sums[end] - self.sums[start]) * _DOWN.upto(self.n + 1)[start]
@@ -76,16 +86,6 @@ def runs_hash(items: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def long_runs_hash(items: np.ndarray, width: int) -> np.ndarray:
-    """As runs_hash by prefix sums, for long runs (another value than runs_hash)."""
-    n = len(items)
-    if n < width:
-        return np.empty(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(items * _UP.upto(n), out=sums[1:])
-    return mix((sums[width:] - sums[:-width]) * _DOWN.upto(n - width + 1))
-
-
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and each document's offsets in them; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarnwick.llm import queries_corpus, queries_models, queries_native, queries_packing, queries_vectors
+from tarnwick.llm import queries_corpus, queries_models, queries_native, queries_packing, queries_repeats, queries_vectors
 
-_MODULES = [queries_native, queries_models, queries_corpus, queries_packing, queries_vectors]
+_MODULES = [queries_native, queries_models, queries_corpus, queries_packing, queries_vectors, queries_repeats]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
