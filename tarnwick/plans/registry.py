@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from tarnwick.plans import queries_basic
+
+_MODULES = [queries_basic]
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.ORACLE_SQL
