@@ -62,12 +62,13 @@ def _local(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, local: bool = True) -> DataFrame:
     """node, component (smallest node that is reachable) for every node of the edges (a, b), by alternating large and small stars.
 
-    Each round is two aggregates by node and a join with their result, written to the checkpoint folder; nothing is collected but counts.
+    ``local`` first shrinks the edges by partition. Each round is two aggregates by node and a join with their result, written to the checkpoint folder; nothing is collected but counts.
     """
-    now = checkpoint(_local(edges.select(F.col("a").cast("long"), F.col("b").cast("long"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
+    now = checkpoint((_local(edges) if local else edges).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

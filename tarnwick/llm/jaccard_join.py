@@ -42,7 +42,7 @@ LEVELS = 2
 #: Ids of at most so many documents are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _BUCKET_BYTES = 16 << 20
-_FLUSH = 1 << 20
+_FLUSH = 1 << 19
 _U = np.uint64
 
 
@@ -284,19 +284,26 @@ def _region_edges(rows: DataFrame, group_docs: int, levels: int) -> DataFrame:
             mine = held.withColumn("part", F.pmod(F.xxhash64("id", F.lit(level)), parts)).withColumn("pivot", F.lit(-1))
             copies = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumnRenamed("p", "pivot")
             both = mine.select("group", "part", "pivot", "id", "items").unionByName(copies.select("group", "part", "pivot", "id", "items"))
-            cells = both.groupBy("group", "part").applyInArrow(_cells, "group long, id long, items binary, cell long")
-            rows = checkpoint(cells.select(F.xxhash64("group", "cell").alias("group"), "id", "items"))
-        else:
-            blocks = F.ceil(F.col("n") / group_docs).cast("int")
-            placed = held.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            pairs = placed.select("group", "id", "items", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-            edges.append(pairs.groupBy("group", "lo", "hi").applyInArrow(_join_group, "a long, b long"))
+            cells = checkpoint(both.groupBy("group", "part").applyInArrow(_cells, "group long, id long, items binary, cell long"))
+            # a group whose documents mostly belong to several cells gets no smaller this way
+            dense = checkpoint(cells.groupBy("group").agg(F.count(F.lit(1)).alias("k")).join(large, "group").where(F.col("k") > 2 * F.col("n")).select("group"))
+            rows = cells.join(dense, "group", "left_anti").select(F.xxhash64("group", "cell").alias("group"), "id", "items")
+            held = held.join(dense, "group", "left_semi")
+        edges.append(_block_edges(held, group_docs))
     out = spark.createDataFrame([], "a long, b long")
     for e in edges:
         out = out.unionByName(e)
     return out
 
 
+def _block_edges(held: DataFrame, group_docs: int) -> DataFrame:
+    """Links of groups of n documents by pairs of blocks."""
+    blocks = F.ceil(F.col("n") / group_docs).cast("int")
+    placed = held.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    pairs = placed.select("group", "id", "items", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    return pairs.groupBy("group", "lo", "hi").applyInArrow(_join_group, "a long, b long")
+
+
 def _by_hash():
     from pyspark.sql import Window
 
@@ -321,7 +328,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     rows = checkpoint(texts.select("group", "id", "text").mapInArrow(sets, "group long, id long, items binary"))
     edges = _region_edges(rows, group_docs, levels).unionByName(equal)
-    return components(edges).select(F.col("node").alias("id"), F.col("component").alias("component_id"))
+    return components(edges, local=False).select(F.col("node").alias("id"), F.col("component").alias("component_id"))
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, **options) -> DataFrame:
