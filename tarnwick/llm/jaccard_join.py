@@ -343,3 +343,9 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(count, "id long, n_shingles long")
     out = rows.join(linked, "id", "left")
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without those that link, over any number of links, to a document with a smaller id."""
+    gone = checkpoint(jaccard_components(docs, key, text).where("id <> component_id").select(F.col("id").alias("_gone")))
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(key).cast("long") == F.col("_gone"), "left_anti")
