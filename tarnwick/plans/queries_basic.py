@@ -94,13 +94,13 @@ def rename_resolve(spark, sf):
     return standardise(table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), {"id": ["orderkey", "o_orderkey"], "price": ["o_totalprice", "total"]})
 
 
-DENSITY = [("CANADA", 300.15, 0.91), ("FRANCE", 290.15, 0.85)]
-LINES = [("france", -0.001, 1.2), ("germany", -0.002, 1.5), ("japan", -0.0015, 1.3)]
-ALIASES = [("CHINA", "Japan"), ("INDIA", "germany")]
+DENSITY = [("NATION_1", 300.15, 0.91), ("NATION_2", 290.15, 0.85)]
+LINES = [("nation_2", -0.001, 1.2), ("nation_3", -0.002, 1.5), ("nation_4", -0.0015, 1.3)]
+ALIASES = [("NATION_5", "Nation_4"), ("NATION_6", "nation_3")]
 
 
 @query(rounded_sql(
-    "e(name, t, density) AS (VALUES ('CANADA', 300.15e0, 91e-2), ('FRANCE', 290.15e0, 85e-2)), l(name, a, b) AS (VALUES ('france', -1e-3, 1.2e0), ('germany', -2e-3, 1.5e0), ('japan', -1.5e-3, 1.3e0)), al(alias, name) AS (VALUES ('china', 'japan'), ('india', 'germany'))",
+    "e(name, t, density) AS (VALUES ('NATION_1', 300.15e0, 91e-2), ('NATION_2', 290.15e0, 85e-2)), l(name, a, b) AS (VALUES ('nation_2', -1e-3, 1.2e0), ('nation_3', -2e-3, 1.5e0), ('nation_4', -1.5e-3, 1.3e0)), al(alias, name) AS (VALUES ('nation_5', 'nation_4'), ('nation_6', 'nation_3'))",
     """SELECT rid, density, CASE WHEN x > 0 AND x < 1 AND density > 0 AND weight > 0 THEN log10(x / (1 - x) * density * 1000 / weight) END AS log_s FROM (SELECT m.rid, m.x, m.weight, coalesce(e.density, l.a * m.t + l.b, l2.a * m.t + l2.b) AS density FROM m
     LEFT JOIN e ON lower(e.name) = lower(trim(m.solvent)) AND e.t = m.t LEFT JOIN l ON l.name = lower(trim(m.solvent)) LEFT JOIN al ON al.alias = lower(trim(m.solvent)) LEFT JOIN l l2 ON l2.name = al.name)""", "density log_s"))
 def dimension_fallback_join(spark, sf):
@@ -394,9 +394,9 @@ def rank_correlation(spark, sf):
     return rounded(profile.spearman(measurements(spark, sf), "t", "y", ["solvent"]))
 
 
-@query(rounded_sql("r AS (SELECT solvent = 'CANADA' AS f, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2e0 AS r FROM m)", "SELECT count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, coalesce(sum(r) FILTER (f), 0) - count(*) FILTER (f) * (count(*) FILTER (f) + 1) / 2e0 AS u FROM r", "u"))
+@query(rounded_sql("r AS (SELECT solvent = 'NATION_1' AS f, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2e0 AS r FROM m)", "SELECT count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, coalesce(sum(r) FILTER (f), 0) - count(*) FILTER (f) * (count(*) FILTER (f) + 1) / 2e0 AS u FROM r", "u"))
 def mann_whitney(spark, sf):
-    return rounded(profile.mann_whitney(measurements(spark, sf), "solvent", "CANADA", "y").withColumn("u", F.coalesce("u", F.lit(0.0))))
+    return rounded(profile.mann_whitney(measurements(spark, sf), "solvent", "NATION_1", "y").withColumn("u", F.coalesce("u", F.lit(0.0))))
 
 
 @query(rounded_sql("", "SELECT rid, t / 300 AS t_ratio, 1000 / t AS t_inverse, (t / 300) * (t / 300) AS t_square, ln(t / 300) AS t_log FROM m", "t_ratio t_inverse t_square t_log"))

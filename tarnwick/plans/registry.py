@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarnwick.plans import queries_basic
+from tarnwick.plans import queries_audit, queries_basic
 
-_MODULES = [queries_basic]
+_MODULES = [queries_basic, queries_audit]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
