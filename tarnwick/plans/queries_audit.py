@@ -222,10 +222,10 @@ def _fits(spark, sf):
     return fits.apelblat_fits(measurements(spark, sf), TRIPLE, "t", "y")
 
 
-@query(rounded_sql(FITS, "SELECT solute, solvent, source, n_points, a + b / 290e0 + c * ln(290e0) AS y290, a + b / 310e0 + c * ln(310e0) AS y310, r2, rmse, t_min, t_max FROM fit", "y290 y310 r2 rmse t_min t_max", 5))
+@query(rounded_sql(FITS, "SELECT solute, solvent, source, n_points, a + b / 290e0 + c * ln(290e0) AS y290, a + b / 310e0 + c * ln(310e0) AS y310, r2, rmse, t_min, t_max FROM fit", "y290 y310 r2 rmse t_min t_max", 4))
 def apelblat_fit(spark, sf):
     at = lambda t: fits.curve_at(F.lit(t))
-    return rounded(_fits(spark, sf).select(*TRIPLE, "n_points", at(290.0).alias("y290"), at(310.0).alias("y310"), "r2", "rmse", "t_min", "t_max"), 5)
+    return rounded(_fits(spark, sf).select(*TRIPLE, "n_points", at(290.0).alias("y290"), at(310.0).alias("y310"), "r2", "rmse", "t_min", "t_max"), 4)
 
 
 @query(rounded_sql("", "SELECT solute, solvent, source, count(*) AS n_points, regr_intercept(y, 1000e0 / t) AS a, 1000 * regr_slope(y, 1000e0 / t) AS b, coalesce(regr_r2(y, 1000e0 / t), 1e0) AS r2, min(t) AS t_min, max(t) AS t_max FROM m GROUP BY ALL HAVING max(t) > min(t)", "a b r2 t_min t_max", 4))
@@ -242,9 +242,9 @@ def fit_taxonomy(spark, sf):
 HALF = "196e-2 * sqrt(greatest(0e0, s2 / n_points + (1000e0 / {t} - u_mean) * (1000e0 / {t} - u_mean) * cuu + (ln({t}) - w_mean) * (ln({t}) - w_mean) * cww + 2 * (1000e0 / {t} - u_mean) * (ln({t}) - w_mean) * cuw))"
 
 
-@query(rounded_sql(FITS, f"SELECT solute, solvent, source, {HALF.format(t='298.15e0')} AS ci FROM fit", "ci", 5))
+@query(rounded_sql(FITS, f"SELECT solute, solvent, source, {HALF.format(t='298.15e0')} AS ci FROM fit", "ci", 4))
 def curve_eval_ci(spark, sf):
-    return rounded(_fits(spark, sf).select(*TRIPLE, fits.half_width_at(F.lit(298.15)).alias("ci")), 5)
+    return rounded(_fits(spark, sf).select(*TRIPLE, fits.half_width_at(F.lit(298.15)).alias("ci")), 4)
 
 
 @query(rounded_sql(FITS, "SELECT solute, solvent, source, a + b / 298.15e0 + c * ln(298.15e0) AS y FROM fit WHERE r2 >= 8e-1 AND rmse <= 3e-1 AND t_min <= 298.15e0 AND t_max >= 298.15e0", "y", 5))
@@ -282,9 +282,9 @@ GOOD = """cg AS (SELECT * FROM cf WHERE r2 >= 8e-1 AND rmse <= 3e-1), ft AS (SEL
 CONSENSUS = fit_sql("cf", "m", "solute, solvent, source") + ", " + GOOD
 
 
-@query(rounded_sql(CONSENSUS, "SELECT * FROM con", "t value sigma", 5))
+@query(rounded_sql(CONSENSUS, "SELECT * FROM con", "t value sigma", 3))
 def consensus_labels(spark, sf):
-    return rounded(tiers.consensus(measurements(spark, sf), KEYS, "source", "t", "y"), 5)
+    return rounded(tiers.consensus(measurements(spark, sf), KEYS, "source", "t", "y"), 3)
 
 
 TIER = VARIABILITY + ", tr AS (SELECT solute, solvent, mae, tier FROM vr, (VALUES ('gold', 1e-1), ('silver', 2e-1), ('bronze', 5e-1)) k(tier, lim) WHERE mae >= 2e-2 AND mae <= lim)"
