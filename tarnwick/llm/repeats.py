@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from tarnwick.llm.columns import Rolling, mix, pieces, text_bytes
 from tarnwick.llm.graph import checkpoint, text_size
 
-#: A table of repeated windows by document that is at most this large is broadcast to the documents; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 48 << 20
 HOT_CONTEXTS = 256
 _BUCKET_BYTES = 16 << 20
 _FLUSH = 1 << 19
@@ -250,24 +248,15 @@ def repeated_windows(docs: DataFrame, spec: Windows) -> DataFrame:
     first = rows.mapInArrow(find, blob).groupBy("bucket").applyInArrow(meet, blob).groupBy("bucket").applyInArrow(by_document, told)
     first = checkpoint(first)
     open_ = first.where("few is not null or many is not null").select("id", "few", "many")
-    second = _joined(rows.select("id", "text"), open_, ("few", "many"), "inner").mapInArrow(again, blob).groupBy("bucket").applyInArrow(match, blob).groupBy("bucket").applyInArrow(by_document, told)
+    second = rows.select("id", "text").join(open_, "id").mapInArrow(again, blob).groupBy("bucket").applyInArrow(match, blob).groupBy("bucket").applyInArrow(by_document, told)
     both = first.select("id", "spans").unionByName(second.select("id", "spans")).where("spans is not null")
     return checkpoint(both.groupBy("id").agg(F.collect_list("spans").alias("spans")))
 
 
-def _joined(docs: DataFrame, table: DataFrame, values: tuple[str, ...], how: str) -> DataFrame:
-    """docs with a table of binary values by id, which is broadcast only if it is small."""
-    size = F.sum(sum((F.coalesce(F.octet_length(v), F.lit(0)) for v in values), F.lit(48)).cast("long"))
-    n = table.agg(size.alias("n")).head()["n"] or 0
-    return docs.join(F.broadcast(table) if n <= BROADCAST_BYTES else table, "id", how)
-
-
 def with_repeats(docs: DataFrame, key: str, text: str, spec: Windows) -> DataFrame:
     """id, text, spans (array of binary) for each row of docs."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    found = repeated_windows(rows, spec)
-    size = found.agg(F.sum(F.lit(48) + F.aggregate("spans", F.lit(0), lambda a, x: a + F.octet_length(x))).alias("n")).head()["n"] or 0
-    return rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "id", "left")
+    return rows.join(repeated_windows(rows, spec), "id", "left")
 
 
 def covered(spans: list, at: np.ndarray, window: int) -> np.ndarray:
