@@ -27,7 +27,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
-    model = toxicity.fit(docs.join(labels.where(~out), "doc_id"))
+    model = toxicity.fit(docs, labels.where(~out))
     return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwick.llm.columns import ALNUM, Rolling, pieces, text_bytes, words
+from tarnwick.llm.graph import checkpoint
 
 #: Labelled rows that a fit reads at most.
 FIT_ROWS = 20_000
@@ -192,13 +193,18 @@ def _model(learnt: dict[int, float], seen: set[int]) -> Model:
     return Model(hashes, np.array([held[int(h)][0] for h in hashes], np.int8), np.array([held[int(h)][1] for h in hashes], float))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = FIT_ROWS) -> Model:
-    """A model of labelled rows (label 0 or 1, not null) with texts."""
-    context = labelled.sparkSession.sparkContext
-    base = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), (F.col(label) > 0).alias("toxic"), F.xxhash64(F.col(key).cast("string"), F.lit(5)).alias("h"))
-    n = base.count()
-    if n > rows:  # the rows with the smallest hashes
-        base = base.where(F.pmod(F.col("h"), F.lit(1 << 30)) < int((1 << 30) * rows / n))
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = FIT_ROWS) -> Model:
+    """A model of the labelled rows of ``docs``; labels: key and label (0 or 1; null is none, the largest counts where a key repeats).
+
+    The labels are sampled before the texts are looked up, so only a bounded number of labels is broadcast and only their texts are written.
+    """
+    context = docs.sparkSession.sparkContext
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg((F.max(label) > 0).alias("toxic"))
+    n = known.count()
+    if n > rows:  # those with the smallest hashes
+        known = known.where(F.pmod(F.xxhash64(F.col("_key").cast("string"), F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * rows / n)).limit(2 * rows)
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("text"))
+    base = checkpoint(texts.join(F.broadcast(known), "_key").select("text", "toxic"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Patterns of toxic texts with the words before them, once each."""
