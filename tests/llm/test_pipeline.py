@@ -1,0 +1,31 @@
+"""The corpus pipeline on the smallest tables: what each stage keeps."""
+
+import os
+
+import pytest
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
+def test_stages(spark, tmp_path):
+    first = docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    kept = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, DIR).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if name != "packing":
+            assert docs.columns == first.columns
+            kept.append(docs.count())
+    assert kept == sorted(kept, reverse=True) and kept[0] >= 0.98 * first.count()
+    assert docs.select("doc_id").distinct().count() == kept[-1]
+    assert corpus_pipeline.run(spark, DIR).count() == docs.count()
+
+
+def test_odd_documents_pass(spark):
+    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "12 !?", "en", "s", 5), (4, "the house by the water and the going", "en", "s", 36), (4, "the house by the water and the going", "en", "s", 36)] + [(10 + i, f"the house number {i} with water going there", "en", "s", 40) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DIR) if name != "decontamination" or os.path.isdir(DIR) else docs
+    assert {r["doc_id"] for r in docs.collect()} >= {4, 10} and not {r["doc_id"] for r in docs.collect()} & {1, 2, 3}
