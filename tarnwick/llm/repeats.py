@@ -130,10 +130,10 @@ def _doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, spec: Windows) -> DataFrame:
-    """id, spans (binary values of ``first window << 16 | number of windows``), of documents with repeated windows. docs: id long, text."""
+    """id, spans (binary values of ``first window << 16 | number of windows``), of documents with repeated windows. docs: id long, text, both not null."""
     buckets = max(256, -(-text_size(docs) // _BUCKET_BYTES))
     window, mode = spec.window, spec.mode
-    rows = docs.where("id is not null and text is not null")
+    rows = docs
 
     def settled(keys, doc, span, kind: int) -> Iterator[pa.RecordBatch]:
         """Rows of one task: repeated ones go to their documents, one of each class goes on."""
@@ -250,13 +250,15 @@ def repeated_windows(docs: DataFrame, spec: Windows) -> DataFrame:
     open_ = first.where("few is not null or many is not null").select("id", "few", "many")
     second = rows.select("id", "text").join(open_, "id").mapInArrow(again, blob).groupBy("bucket").applyInArrow(match, blob).groupBy("bucket").applyInArrow(by_document, told)
     both = first.select("id", "spans").unionByName(second.select("id", "spans")).where("spans is not null")
-    return checkpoint(both.groupBy("id").agg(F.collect_list("spans").alias("spans")))
+    return both.groupBy("id").agg(F.collect_list("spans").alias("spans"))
 
 
 def with_repeats(docs: DataFrame, key: str, text: str, spec: Windows) -> DataFrame:
-    """id, text, spans (array of binary) for each row of docs."""
+    """id, text, spans (array of binary) for each row of docs. Both joins with the texts deal them by id in the same way, so Spark shuffles them once."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.join(repeated_windows(rows, spec), "id", "left")
+    known = rows.where("id is not null and text is not null")
+    found = known.join(repeated_windows(known, spec), "id", "left")
+    return found.unionByName(rows.where("id is null or text is null").withColumn("spans", F.lit(None).cast("array<binary>")))
 
 
 def covered(spans: list, at: np.ndarray, window: int) -> np.ndarray:
