@@ -9,7 +9,7 @@ for its windows, and its context is what those cover. Only anchors are shuffled,
    documents sends one anchor per task.
 2. Where a gram has several contexts, those may still share some windows. The contexts of such an anchor, one of each kind, are dealt by the gram once
    more with their items, and a ``matcher`` (a suffix automaton, or bucket refinement) finds the windows that several have.
-   Grams with more than HOT_CONTEXTS contexts have their windows dealt one by one instead, each by its own hash and settled within the map task first,
+   Grams with more than HOT_CONTEXTS contexts, in one map task or over all, have their windows dealt one by one instead, each by its own hash and settled within the map task first,
    so no task has to hold them all.
 3. The repeated windows go back to their documents.
 
@@ -125,6 +125,12 @@ def _settle(keys: tuple[np.ndarray, ...], doc: np.ndarray, span: np.ndarray, mod
     return order, first, cls, repeated
 
 
+def _sizes(x: np.ndarray) -> np.ndarray:
+    """For each of sorted values how often it occurs."""
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1, [len(x)]]) if len(x) else np.zeros(1, np.int64)
+    return np.repeat(np.diff(bounds), np.diff(bounds))
+
+
 def _doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(doc ^ _U(0xD0C)) % _U(buckets)).astype(np.int64)
 
@@ -136,10 +142,17 @@ def repeated_windows(docs: DataFrame, spec: Windows) -> DataFrame:
     rows = docs
 
     def settled(keys, doc, span, kind: int) -> Iterator[pa.RecordBatch]:
-        """Rows of one task: repeated ones go to their documents, one of each class goes on."""
+        """Rows of one task: repeated ones go to their documents, one of each class goes on. Of a gram that has many contexts in this task alone only
+        the name goes on; its contexts go to their documents as such."""
         order, first, _, repeated = _settle(keys, doc, span, mode)
         yield _blobs(_doc_bucket(doc[order][repeated], buckets), 1, doc[order][repeated], span[order][repeated])
         go = order[first]
+        if kind == 0:
+            many = _sizes(keys[0][go]) > HOT_CONTEXTS
+            hot, go = go[many], go[~many]
+            yield _blobs(_doc_bucket(doc[hot], buckets), 3, doc[hot], span[hot], keys[0][hot])
+            names = np.unique(keys[0][hot])
+            yield _blobs((mix(names) % _U(buckets)).astype(np.int64), 6, names)
         yield _blobs((mix(keys[0][go]) % _U(buckets)).astype(np.int64), kind, *(k[go] for k in keys), doc[go], span[go])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,14 +178,15 @@ def repeated_windows(docs: DataFrame, spec: Windows) -> DataFrame:
         order, first, _, repeated = _settle((gram, context), doc, span, mode)
         out = [_blobs(_doc_bucket(doc[order][repeated], buckets), 1, doc[order][repeated], span[order][repeated])]
         kinds = order[first]
-        g = gram[kinds]  # sorted
-        start = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1]) if len(g) else np.empty(0, int)
-        size = np.repeat(np.diff(np.append(start, len(g))), np.diff(np.append(start, len(g))))
-        for kind, chosen in ((2, (size > 1) & (size <= HOT_CONTEXTS)), (3, size > HOT_CONTEXTS)):
+        size, known = _sizes(gram[kinds]), np.isin(gram[kinds], _read(table, 6, 1)[0])
+        many = known | (size > HOT_CONTEXTS)
+        for kind, chosen in ((2, (size > 1) & ~many), (3, many)):
             k = kinds[chosen]
             out.append(_blobs(_doc_bucket(doc[k], buckets), kind, doc[k], span[k], gram[k]))
         doc, span = _read(table, 1, 2)
         out.append(_blobs(_doc_bucket(doc, buckets), 1, doc, span))
+        doc, span, gram = _read(table, 3, 3)
+        out.append(_blobs(_doc_bucket(doc, buckets), 3, doc, span, gram))
         return pa.Table.from_batches(out)
 
     def by_document(table: pa.Table) -> pa.Table:
