@@ -117,3 +117,11 @@ def alias_name(name: Column, aliases: dict[str, str]) -> Column:
         return name
     table = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
     return F.coalesce(table[name], name)
+
+
+def template(text: str, **values: Column) -> Column:
+    """A text with ``{name}`` replaced by columns; a null value becomes an empty text."""
+    out = F.lit(text)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out

@@ -31,3 +31,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         labels = new.select("x", F.col("new").alias("label"))
         if not changed:
             return labels.select(F.col("x").alias("node"), F.col("label").alias("component"))
+
+
+def closed_walks(edges: DataFrame, graph: str, a: str, b: str) -> DataFrame:
+    """graph, n_edges, n_triangles, n_squares of simple undirected graphs: motif counts from the traces of the powers of the adjacency matrix."""
+    one = edges.select(graph, F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x <> y").distinct()
+    both = one.unionByName(one.select(graph, F.col("y").alias("x"), F.col("x").alias("y")))
+    step = both.select(graph, F.col("x").alias("y"), F.col("y").alias("z"))
+    paths = both.join(step, [graph, "y"]).groupBy(graph, "x", "z").agg(F.count(F.lit(1)).alias("k"))  # walks of two steps, counted
+    triangles = paths.join(both.withColumnRenamed("y", "z"), [graph, "x", "z"]).groupBy(graph).agg((F.sum("k") / 6).cast("long").alias("n_triangles"))
+    squares = paths.where("x < z").groupBy(graph).agg((F.sum(F.col("k") * (F.col("k") - 1) / 2) / 2).cast("long").alias("n_squares"))
+    counts = one.groupBy(graph).agg(F.count(F.lit(1)).alias("n_edges"))
+    return counts.join(triangles, graph, "left").join(squares, graph, "left").na.fill(0, ["n_triangles", "n_squares"])

@@ -121,3 +121,45 @@ def density_curve(df: DataFrame, x: str, points: int = 200) -> DataFrame:
     grid = df.sparkSession.range(points).select((F.lit(s["lo"]) + F.col("id") * ((s["hi"] - s["lo"]) / (points - 1))).alias("grid"))
     z = (F.col("grid") - (F.lit(s["lo"]) + (F.col("b") + 0.5) * step)) / h
     return grid.crossJoin(F.broadcast(bins)).groupBy("grid").agg((F.sum(F.col("k") * F.exp(-z * z / 2)) / (s["n"] * h * 2.5066282746310002)).alias("density"))  # at most 2001 bins
+
+
+def fragment_importance(atoms: DataFrame, fragments: DataFrame, keys: list[str], group: list[str], value: str, top: int | None = None) -> DataFrame:
+    """Mean absolute value and n of each fragment, by group. fragments: keys and fragment; an atom in several fragments counts in each. With ``top``, the strongest of each group."""
+    g = atoms.join(fragments, keys).groupBy(*group, "fragment").agg(F.avg(F.abs(value)).alias("mean_abs"), F.count(F.lit(1)).alias("n"))
+    if top is None:
+        return g
+    rank = F.row_number().over(W.partitionBy(*group).orderBy(F.desc("mean_abs"), "fragment"))
+    return g.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
+
+
+def row_rollup(long: DataFrame, keys: list[str], value: str, labels: DataFrame, on: list[str]) -> DataFrame:
+    """One row per key with the sum, the largest share and n of its parts, and the labels of that key (null where there are none)."""
+    total = F.sum(F.abs(value))
+    g = long.groupBy(*keys).agg(total.alias("total"), F.try_divide(F.max(F.abs(value)), total).alias("largest"), F.count(F.lit(1)).alias("n"))
+    return g.join(labels, on, "left")
+
+
+def average_linkage(similarity: DataFrame, clusters: int) -> dict[str, int]:
+    """Cluster numbers of names by average linkage of 1 - cosine, from the table (a, b, cosine) of a bounded number of groups; on the driver, as its input is the small result of cosine_similarity."""
+    import numpy as np
+
+    rows = similarity.select("a", "b", "cosine").limit(500_001).collect()
+    if len(rows) > 500_000:
+        raise ValueError("more than 1000 groups")
+    names = sorted({r["a"] for r in rows} | {r["b"] for r in rows})
+    at = {n: i for i, n in enumerate(names)}
+    d = np.full((len(names), len(names)), np.inf)
+    for r in rows:
+        d[at[r["a"]], at[r["b"]]] = d[at[r["b"]], at[r["a"]]] = 1 - r["cosine"]
+    members = [[i] for i in range(len(names))]
+    live = list(range(len(names)))
+    while len(live) > max(1, clusters):
+        sub = d[np.ix_(live, live)]
+        i, j = sorted(live[k] for k in np.unravel_index(np.argmin(sub), sub.shape))
+        a, b = len(members[i]), len(members[j])
+        d[i] = (a * d[i] + b * d[j]) / (a + b)
+        d[:, i] = d[i]
+        d[i, i] = np.inf
+        members[i] += members[j]
+        live.remove(j)
+    return {names[k]: c for c, i in enumerate(live) for k in members[i]}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarnwick.plans import queries_audit, queries_basic, queries_curves
+from tarnwick.plans import queries_audit, queries_basic, queries_curves, queries_more
 
-_MODULES = [queries_basic, queries_audit, queries_curves]
+_MODULES = [queries_basic, queries_audit, queries_curves, queries_more]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
