@@ -211,3 +211,17 @@ def test_empty_input(spark):
     empty = measured(spark, [])
     assert fits.apelblat_fits(empty, K, "t", "y").count() == 0 and splits.kfold(empty, ["rid"]).count() == 0
     assert metrics.duplicate_floor(empty, K, "t", "y").head()["n_groups"] == 0
+
+
+def test_average_linkage(spark):
+    rows = [("a", "b", 0.9), ("a", "c", 0.1), ("a", "d", 0.0), ("b", "c", 0.2), ("b", "d", 0.1), ("c", "d", 0.8)]
+    found = rollup.average_linkage(spark.createDataFrame(rows, "a string, b string, cosine double"), 2)
+    assert found["a"] == found["b"] != found["c"] == found["d"]
+
+
+def test_closed_walks(spark):
+    from tarnwick.operators.graph import closed_walks
+
+    rows = [(1, a, b) for a, b in ((1, 2), (2, 3), (3, 1), (2, 1), (3, 3))] + [(2, a, b) for a, b in ((1, 2), (2, 3), (3, 4), (4, 1))] + [(3, 1, 2)]
+    found = {r["g"]: (r["n_edges"], r["n_triangles"], r["n_squares"]) for r in closed_walks(spark.createDataFrame(rows, "g int, a int, b int"), "g", "a", "b").collect()}
+    assert found == {1: (3, 1, 0), 2: (4, 0, 1), 3: (1, 0, 0)}
