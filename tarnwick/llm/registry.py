@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwick.llm import queries_corpus, queries_models, queries_native, queries_packing, queries_repeats, queries_vectors
+from tarnwick.llm import oracles, queries_corpus, queries_models, queries_native, queries_packing, queries_repeats, queries_vectors
 
 _MODULES = [queries_native, queries_models, queries_corpus, queries_packing, queries_vectors, queries_repeats]
 
@@ -11,3 +11,4 @@ ORACLE_SQL: dict = {}
 for _m in _MODULES:
     QUERIES |= _m.QUERIES
     ORACLE_SQL |= _m.ORACLE_SQL
+ORACLE_SQL |= oracles.ORACLE_SQL
