@@ -252,10 +252,10 @@ def _join_group(table: pa.Table) -> pa.Table:
 
 def _cells(table: pa.Table) -> pa.Table:
     """Documents of a part of a group with the cells of the group's pivots that they belong to."""
-    sets, pivot = _sets_of(table["items"]), table["pivot"].to_numpy(zero_copy_only=False)
-    pivots = np.flatnonzero(pivot >= 0)
-    pivots = pivots[np.argsort(pivot[pivots], kind="stable")]
-    mine = np.flatnonzero(pivot < 0)
+    sets, pivot, ids = _sets_of(table["items"]), table["pivot"].to_numpy(zero_copy_only=False), table["id"].to_numpy()
+    pivots = np.flatnonzero(pivot == 1)
+    pivots = pivots[np.unique(ids[pivots], return_index=True)[1]]  # in order of their ids, so every part numbers the cells alike
+    mine = np.flatnonzero(pivot == 0)
     if not len(mine):
         return table.slice(0, 0).select(["group", "id", "items"]).append_column("cell", pa.array([], pa.int64()))
     d = _distances([sets[i] for i in mine], [sets[i] for i in pivots])
@@ -269,20 +269,22 @@ def _region_edges(rows: DataFrame, group_docs: int, levels: int) -> DataFrame:
     spark = rows.sparkSession
     edges = []
     for level in range(levels + 1):
-        sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+        sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
         large = checkpoint(sizes.where(F.col("n") > group_docs))
         n_large = large.count()
+        large = F.broadcast(large) if n_large <= BROADCAST_IDS else large
         small = rows.join(large.select("group"), "group", "left_anti") if n_large else rows
         edges.append(small.withColumn("side", F.lit(0)).groupBy("group").applyInArrow(_join_group, "a long, b long"))
         if not n_large:
             break
         held = rows.join(large, "group")
         if level < levels:
-            # pivots: the documents with the smallest hashes, about four for each group that fits into a task
-            pivots = held.withColumn("p", F.row_number().over(_by_hash()) - 1).where(F.col("p") < F.least(F.lit(64), F.ceil(4 * F.col("n") / group_docs)))
+            # pivots: about four for each group that fits into a task, those with small hashes, and the first document so that there is one
+            share = F.least(F.lit(64.0), F.ceil(4 * F.col("n") / group_docs)) / F.col("n")
+            pivots = held.where((F.pmod(F.xxhash64("id", F.lit(31 + level)), F.lit(1 << 30)) < share * (1 << 30)) | (F.col("id") == F.col("first")))
             parts = F.greatest(F.lit(1), F.ceil(F.col("n") / group_docs)).cast("int")
-            mine = held.withColumn("part", F.pmod(F.xxhash64("id", F.lit(level)), parts)).withColumn("pivot", F.lit(-1))
-            copies = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumnRenamed("p", "pivot")
+            mine = held.withColumn("part", F.pmod(F.xxhash64("id", F.lit(level)), parts)).withColumn("pivot", F.lit(0))
+            copies = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("pivot", F.lit(1))
             both = mine.select("group", "part", "pivot", "id", "items").unionByName(copies.select("group", "part", "pivot", "id", "items"))
             cells = checkpoint(both.groupBy("group", "part").applyInArrow(_cells, "group long, id long, items binary, cell long"))
             # a group whose documents mostly belong to several cells gets no smaller this way
@@ -304,12 +306,6 @@ def _block_edges(held: DataFrame, group_docs: int) -> DataFrame:
     return pairs.groupBy("group", "lo", "hi").applyInArrow(_join_group, "a long, b long")
 
 
-def _by_hash():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("group").orderBy(F.xxhash64("id"), "id")
-
-
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, group_docs: int = GROUP_DOCS, levels: int = LEVELS) -> DataFrame:
     """id, component_id of the documents that link with another; component_id is the smallest id reachable by links."""
     buckets = max(256, -(-text_size(docs, text) // _BUCKET_BYTES))
