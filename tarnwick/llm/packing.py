@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,17 @@ _SCHEMA = "key long, start long, length long, ids binary, doc_tokens long, seque
 _loaded: dict = {}
 
 
-def encoder(path: str, pattern: str):
-    """A function from texts to lists of ids, by the ranks of a byte-level vocabulary; loaded once a process."""
-    if path not in _loaded:
+def encoder(path: str, pattern: str, added: dict[str, int] | None = None):
+    """A function from texts to lists of ids, by the ranks of a byte-level vocabulary, with texts split at its ``added`` tokens first; loaded once a process."""
+    name = (path, pattern, *sorted((added or {}).items()))
+    if name not in _loaded:
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _loaded[path] = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return _loaded[path]
+        found = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
+        _loaded[name] = partial(found.encode, allowed_special="all") if added else found.encode_ordinary
+    return _loaded[name]
 
 
 class Index:
@@ -118,14 +121,14 @@ def fill(tails: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """One row for each piece: key, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset. vocabulary: path of a rank file, on every machine."""
+def pack(docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int] | None = None, key: str = "doc_id", text: str = "text", window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """One row for each piece: key, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset. vocabulary: path of a rank file, on every machine; added: its tokens that aren't in the file."""
     shards = max(1, -(-docs.count() // shard_docs))
     rows = docs.select(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(shards)).alias("shard"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents cut into windows; ids as unsigned 16-bit numbers where they fit."""
-        encode = encoder(vocabulary, pattern)
+        encode = encoder(vocabulary, pattern, added)
         for b in pieces(batches):
             shard, keys, texts = (c.to_pylist() for c in b.columns)
             out: list[tuple] = []

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.llm import packing
 
 
-def public_vocabulary() -> tuple[str, str]:
-    """Path and split pattern of the public byte-level vocabulary of 50k ids, as ranks (the same ids as byte_bpe_50k.json)."""
+def public_vocabulary() -> tuple[str, str, dict[str, int]]:
+    """Path, split pattern and added tokens of the public byte-level vocabulary of 50k ids, as ranks (the same ids as byte_bpe_50k.json)."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -208,3 +208,13 @@ def test_neighbours_share_words():
     index = packing.Index(tails)
     assert np.argsort(-index.scores(0))[1] == 2 and np.argsort(-index.scores(1))[1] == 3
     assert hashlib.sha256(b"").hexdigest()  # the digests of the queries are of bytes
+
+
+def test_added_tokens_are_one_id(spark):
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    texts = ["end <|endoftext|> begin", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b \n<|endoftext|>\n\n c", "<|endoftext| >", "<|ENDOFTEXT|> it's", "x" * 3000 + " <|endoftext|>"]
+    tok = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    encode = packing.encoder(*queries_packing.public_vocabulary())
+    assert [encode(t) for t in texts] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    (r,) = packing.pack(frame(spark, [(1, texts[0], None)]), *queries_packing.public_vocabulary()).where("start = 0").collect()
+    assert np.frombuffer(r["ids"], "<u4").tolist() == [437, 220, 50256, 2221][: r["length"]] and r["doc_tokens"] == 5
