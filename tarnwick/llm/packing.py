@@ -1,13 +1,16 @@
 """Packing of documents into windows of tokens by lexical retrieval.
 
 Each document becomes token ids and an end mark. Whole windows are cut from its front; what is left, its tail, is packed
-with tails of related documents: tails are dealt into shards of about SHARD_DOCS documents by a hash, each shard builds a
-BM25 inverted index of its tails, and a seed's window is filled greedily with the unused tails that score highest for it.
+with tails of related documents: documents are dealt into shards of about SHARD_DOCS by a hash, each shard builds a
+BM25 inverted index of its documents that have a tail, and a seed's window is filled greedily with the unused tails whose documents score highest for it.
+The index holds whole documents, and its document frequencies and mean length are those of all shards' documents. A seed
+doesn't reach other shards' tails.
 The tail that no longer fits is cut, and its rest is the next seed, so every window but a shard's last is full. The
 last is cut into powers of two, which need no padding.
 
 Each id lies in exactly one piece. A shard holds a bounded number of documents, whatever the input's size, so memory is bounded by
-the length of the longest documents, and packing needs one shuffle of token ids at two bytes each.
+the length of the longest documents. Token ids are written once to the checkpoint folder, with each task's document frequencies, and
+shuffled once, at two bytes each.
 
 Cases: a null or empty text is the end mark alone. Repeated rows are packed each by itself. An empty table gives an empty
 result. Further columns aren't kept: a piece refers to its document by the key.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -25,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.llm.columns import pieces
+from tarnwick.llm.graph import checkpoint
 
 WINDOW = 2048
 SHARD_DOCS = 256
@@ -48,22 +53,32 @@ def encoder(path: str, pattern: str, added: dict[str, int] | None = None):
     return _loaded[name]
 
 
+@dataclass
+class Corpus:
+    """Of all documents: their number, mean length and, by term, the number that hold it."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+
 class Index:
-    """A BM25 inverted index of a shard's tails: for each term, its documents and their weights."""
+    """A BM25 inverted index of a shard's documents: for each term, its documents and their weights. Without a corpus the shard is its own."""
 
-    def __init__(self, tails: list[np.ndarray]):
-        n = len(tails)
-        sizes = np.array([len(t) for t in tails])
-        terms = np.concatenate(tails) if n else np.empty(0, np.int64)
+    def __init__(self, texts: list[np.ndarray], corpus: Corpus | None = None):
+        n = len(texts)
+        sizes = np.array([len(t) for t in texts])
+        terms = np.concatenate(texts) if n else np.empty(0, np.int64)
         pair, count = np.unique(terms.astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
         term, self.docs = pair // n, pair % n
-        self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
+        self.terms, first, held = np.unique(term, return_index=True, return_counts=True)
         self.bounds = np.append(first, len(term))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = count * (K1 + 1) / (count + K1 * (1 - B + B * sizes[self.docs] / max(1.0, sizes.mean())))
-        self.weights = weight * np.repeat(idf, df)
+        total, mean, df = (corpus.n, corpus.mean, corpus.df[self.terms]) if corpus else (n, sizes.mean(), held)
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+        weight = count * (K1 + 1) / (count + K1 * (1 - B + B * sizes[self.docs] / max(1.0, mean)))
+        self.weights = weight * np.repeat(idf, held)
         order = np.argsort(self.docs, kind="stable")
-        self.own = np.split(np.repeat(np.arange(len(self.terms)), df)[order], np.cumsum(np.bincount(self.docs, minlength=n))[:-1])
+        self.own = np.split(np.repeat(np.arange(len(self.terms)), held)[order], np.cumsum(np.bincount(self.docs, minlength=n))[:-1])
         self.n = n
 
     def scores(self, seed: int) -> np.ndarray:
@@ -74,13 +89,13 @@ class Index:
         return np.bincount(self.docs[at], self.weights[at], self.n)
 
 
-def fill(tails: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (tail, start, length): all but the last ones are full windows; the last ones are powers of two."""
+def fill(tails: list[np.ndarray], window: int, index: Index | None = None) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (tail, start, length): all but the last ones are full windows; the last ones are powers of two. index: of the tails' documents, in the same order."""
     out: list[list[tuple[int, int, int]]] = []
     live = [k for k in range(len(tails)) if len(tails[k])]
     if not live:
         return out
-    index = Index(tails)
+    index = index or Index(tails)
     unused = np.zeros(len(tails), bool)
     unused[live] = True
     rest: tuple[int, int] | None = None
@@ -121,23 +136,62 @@ def fill(tails: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int] | None = None, key: str = "doc_id", text: str = "text", window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """One row for each piece: key, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset. vocabulary: path of a rank file, on every machine; added: its tokens that aren't in the file."""
-    shards = max(1, -(-docs.count() // shard_docs))
-    rows = docs.select(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(shards)).alias("shard"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+def tokenise(docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int] | None, key: str, text: str, window: int, shards: int) -> DataFrame:
+    """Documents cut into windows; ids as unsigned 16-bit numbers where they fit. A task's last row, of shard -1, has its number of documents (key), of ids (doc_tokens) and its document frequencies."""
+    h = F.xxhash64(F.col(key), F.col(text))
+    rows = docs.select(F.pmod(h, F.lit(shards)).alias("shard"), h.alias("doc"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents cut into windows; ids as unsigned 16-bit numbers where they fit."""
         encode = encoder(vocabulary, pattern, added)
+        n, total, df = 0, 0, np.zeros(1 << 16, np.int64)
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "doc", "key", "start", "doc_tokens", "wide", "raw"])
+
         for b in pieces(batches):
-            shard, keys, texts = (c.to_pylist() for c in b.columns)
+            shard, doc, keys, texts = (c.to_pylist() for c in b.columns)
             out: list[tuple] = []
-            for s, k, t in zip(shard, keys, texts, strict=True):
+            for s, d, k, t in zip(shard, doc, keys, texts, strict=True):
                 ids = np.array([*encode(t or ""), END], np.uint32)
                 wide = bool(ids.max() > 0xFFFF)
                 raw = ids if wide else ids.astype(np.uint16)
-                out += [(s, k, a, len(ids), wide, raw[a : a + window].tobytes()) for a in range(0, len(ids), window)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["shard", "key", "start", "doc_tokens", "wide", "raw"])
+                out += [(s, d, k, a, len(ids), wide, raw[a : a + window].tobytes()) for a in range(0, len(ids), window)]
+                terms = np.unique(raw)
+                if terms[-1] >= len(df):
+                    df = np.append(df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64))
+                df[terms] += 1
+                n, total = n + 1, total + len(ids)
+            yield batch(out)
+        if n:
+            terms = np.flatnonzero(df)
+            yield batch([(-1, 0, n, 0, total, True, np.concatenate([terms, df[terms]]).tobytes())])
+
+    return rows.mapInArrow(tokens, "shard long, doc long, key long, start long, doc_tokens long, wide boolean, raw binary")
+
+
+def statistics(dealt: DataFrame) -> Corpus:
+    """The statistics of all documents, from the last rows of the tasks that cut them; a row for each term goes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, total, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                terms, df = np.frombuffer(raw, np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], terms])), pa.array(np.concatenate([[n, total], df]))], ["term", "n"])
+
+    rows = dealt.where("shard = -1").select("key", "doc_tokens", "raw").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    found = {r["term"]: r["n"] for r in rows}
+    n, total = found.pop(-2, 0), found.pop(-1, 0)
+    df = np.zeros(max(found, default=-1) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return Corpus(n, total / max(1, n), df)
+
+
+def pack(docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int] | None = None, key: str = "doc_id", text: str = "text", window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """One row for each piece: key, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset. vocabulary: path of a rank file, on every machine; added: its tokens that aren't in the file."""
+    shards = max(1, -(-docs.count() // shard_docs))
+    dealt = checkpoint(tokenise(docs, vocabulary, pattern, added, key, text, window, shards))
+    corpus = docs.sparkSession.sparkContext.broadcast(statistics(dealt))
 
     def shard_pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("start", "ascending"), ("raw", "ascending")])
@@ -145,8 +199,13 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int] |
         keys, starts, sizes = table["key"].to_pylist(), table["start"].to_pylist(), table["doc_tokens"].to_pylist()
         ids = [np.frombuffer(r, np.uint32 if w else np.uint16) for r, w in zip(table["raw"].to_pylist(), table["wide"].to_pylist(), strict=True)]
         tails = [k for k, x in enumerate(ids) if len(x) < window]
+        # repeated rows have the same windows, of which one of each start is the text
+        cut: dict[int, dict[int, int]] = {}
+        for k, d in enumerate(table["doc"].to_pylist()):
+            cut.setdefault(d, {}).setdefault(starts[k], k)
+        texts = [np.concatenate([ids[w] for w in cut[d].values()]) for d in table["doc"].take(pa.array(tails, pa.int64())).to_pylist()]
         sequences = [[(k, 0, window)] for k, x in enumerate(ids) if len(x) == window]
-        sequences += [[(tails[k], a, n) for k, a, n in s] for s in fill([ids[k] for k in tails], window)]
+        sequences += [[(tails[k], a, n) for k, a, n in s] for s in fill([ids[k] for k in tails], window, Index(texts, corpus.value) if tails else None)]
         out: list[tuple] = []
         for number, sequence in enumerate(sequences):
             offset = 0
@@ -156,5 +215,4 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int] |
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    dealt = rows.mapInArrow(tokens, "shard long, key long, start long, doc_tokens long, wide boolean, raw binary")
-    return dealt.groupBy("shard").applyInArrow(shard_pack, _SCHEMA).withColumnRenamed("key", key)
+    return dealt.where("shard >= 0").groupBy("shard").applyInArrow(shard_pack, _SCHEMA).withColumnRenamed("key", key)

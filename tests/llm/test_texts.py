@@ -218,3 +218,25 @@ def test_added_tokens_are_one_id(spark):
     assert [encode(t) for t in texts] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
     (r,) = packing.pack(frame(spark, [(1, texts[0], None)]), *queries_packing.public_vocabulary()).where("start = 0").collect()
     assert np.frombuffer(r["ids"], "<u4").tolist() == [437, 220, 50256, 2221][: r["length"]] and r["doc_tokens"] == 5
+
+
+def test_packing_knows_the_whole_corpus(spark, rng):
+    docs = [(i, " ".join(rng.choice(["over", "the", "lazy", "dog", "12"]) for _ in range(rng.choice([0, 3, 50, 900]))), None) for i in range(40)]
+    encode = packing.encoder(*queries_packing.public_vocabulary())
+    ids = [[*encode(t), 1] for _, t, _ in docs]
+    df = collections.Counter(x for i in ids for x in set(i))
+    found = packing.statistics(packing.tokenise(frame(spark, docs), *queries_packing.public_vocabulary(), "doc_id", "text", 64, 7))
+    assert found.n == 40 and found.mean == pytest.approx(sum(map(len, ids)) / 40) and {k: n for k, n in enumerate(found.df.tolist()) if n} == df
+    # 5 is rare in the shard and in most other documents, so 6 tells more
+    texts = [np.array(t, np.uint16) for t in ([5, 6, 6], [5, 9, 9], [6, 9, 9], [6, 8, 8], [6, 7, 7])]
+    assert np.argmax(packing.Index(texts).scores(0)[1:3]) == 0
+    assert np.argmax(packing.Index(texts, packing.Corpus(1000, 3.0, np.array([0, 0, 0, 0, 0, 900, 4, 1, 1, 2]))).scores(0)[1:3]) == 1
+
+
+def test_long_documents_are_found_by_their_whole_text(spark):
+    rare, plain = " zebra quartz violin", " the and of to"
+    docs = [(1, rare * 40 + plain * 12, None), (2, rare * 6, None), (3, plain * 5, None)] + [(10 + i, plain * 16, None) for i in range(8)]
+    rows = packing.pack(frame(spark, docs), *queries_packing.public_vocabulary(), window=64, shard_docs=100).collect()
+    last = max((r for r in rows if r["doc_id"] == 1), key=lambda r: r["start"])
+    mates = {r["doc_id"] for r in rows if r["sequence_id"] == last["sequence_id"]} - {1}
+    assert last["start"] + last["length"] == last["doc_tokens"] and 2 in mates
