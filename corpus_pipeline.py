@@ -22,8 +22,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group, and all that have no near duplicate."""
-    return jaccard_join.deduplicate(docs)
+    """The document with the smallest id of each group, and all that have no near duplicate: five words a shingle, four fifths shared."""
+    return jaccard_join.deduplicate(docs, shingle=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

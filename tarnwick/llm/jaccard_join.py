@@ -1,10 +1,10 @@
 """N-gram Jaccard join: near-duplicate documents by a recursive join of regions in the metric space of shingle sets.
 
-Two documents link when 100 * intersection >= PERCENT * union of their sets of word shingles. The Jaccard distance is a metric, but
+Two documents link when 100 * intersection >= percent * union of their sets of word shingles. The Jaccard distance is a metric, but
 nearly all documents are at distance 1 from any pivot document, so pivots chosen among the documents split nothing at
 first. The first regions are therefore those of pivots that are parts of the shingle universe: for a class of set
 sizes the universe is dealt into parts by a hash, and a document belongs to the region of each (part, what it holds of that part). The
-symmetric difference of two linked sets is bounded by ``3 * smaller size // 17``, and by the triangle inequality no more parts than that
+symmetric difference of two linked sets is bounded by ``(100 - percent) * smaller size // percent``, and by the triangle inequality no more parts than that
 can tell them apart; so of each document's parts, ordered by what they hold, the first bound + 1 suffice, and linked
 documents meet in at least one region. Sizes are cut into classes by the same ratio, and a document near a class's border is replicated to the neighbour.
 
@@ -23,6 +23,7 @@ document whose texts are all tried. Further columns of the input aren't kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from tarnwick.llm.columns import LOWER, NOT_SPACE, Rolling, mix, pieces, runs_ha
 from tarnwick.llm.graph import checkpoint, components, forest, text_size
 
 SHINGLE = 4
-#: Fixed by the contract; the bounds below are those of 85.
+#: With SHINGLE, fixed by the contract of op1; others pass their own.
 PERCENT = 85
 #: Documents that one task joins at most in one block.
 GROUP_DOCS = 1024
@@ -46,17 +47,15 @@ _FLUSH = 1 << 19
 _U = np.uint64
 
 
-def _size_classes(limit: int = 1 << 40) -> np.ndarray:
+@cache
+def _size_classes(percent: int, limit: int = 1 << 40) -> np.ndarray:
     """Least size of each class; a linked pair's classes differ by one at most."""
     out = [1]
     while out[-1] < limit:
-        out.append(out[-1] * 100 // PERCENT + 1)
+        out.append(out[-1] * 100 // percent + 1)
     return np.array(out, np.int64)
 
 
-_LEAST = _size_classes()
-
-
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, and each text's offsets in them."""
     data, off = text_bytes(column)
@@ -80,21 +79,22 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray,
     return found, np.searchsorted(owner, np.arange(len(n) + 1))
 
 
-def _signatures(sets: np.ndarray, at: np.ndarray, who: np.ndarray, upper: bool) -> tuple[np.ndarray, np.ndarray]:
+def _signatures(sets: np.ndarray, at: np.ndarray, who: np.ndarray, upper: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Region keys of the documents ``who``, in the space of their own size class or (``upper``) of the class below."""
-    size = np.diff(at)[who]
-    own = np.searchsorted(_LEAST, size, side="right") - 1
+    size, least = np.diff(at)[who], _size_classes(percent)
+    own = np.searchsorted(least, size, side="right") - 1
     space = own - upper
     fine = space >= 0
     who, size, own, space = who[fine], size[fine], own[fine], space[fine]
-    most = _LEAST[space + 1] - 1  # of the smaller of two linked documents
-    bound = 3 * np.minimum(size, most) // 17
+    most = least[space + 1] - 1  # of the smaller of two linked documents
+    apart = (100 - percent) * most // percent
+    bound = (100 - percent) * np.minimum(size, most) // percent
     if upper:
-        bound = np.minimum(bound, 3 * (most + size) // 37)
-        fine = (3 * most // 17 > 0) | (_LEAST[own] * PERCENT <= 100 * most)
-        who, size, space, most, bound = who[fine], size[fine], space[fine], most[fine], bound[fine]
-    parts = np.maximum(1, -(-5 * (3 * most // 17 + 1) // 4))
-    parts[3 * most // 17 == 0] = 1
+        bound = np.minimum(bound, (100 - percent) * (most + size) // (100 + percent))
+        fine = (apart > 0) | (least[own] * percent <= 100 * most)
+        who, size, space, apart, bound = who[fine], size[fine], space[fine], apart[fine], bound[fine]
+    parts = np.maximum(1, -(-5 * (apart + 1) // 4))
+    parts[apart == 0] = 1
     base = np.concatenate([[0], np.cumsum(parts)])
     take = np.repeat(at[who] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
     item = sets[take]
@@ -156,7 +156,7 @@ def _groups(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.nda
     return ids[ids != first], first[ids != first]
 
 
-def candidates(docs: DataFrame, buckets: int, key: str, text: str, shingle: int) -> DataFrame:
+def candidates(docs: DataFrame, buckets: int, key: str, text: str, shingle: int, percent: int) -> DataFrame:
     """kind, a, b: documents that share a region with the smallest one there (kind 0), or have the same set (kind 1)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def candidates(docs: DataFrame, buckets: int, key: str, text: str, shingle: int)
             who = np.array(new, np.int64)
             for upper in (False, True):
                 if len(who):
-                    found, owner = _signatures(sets, at, who, upper)
+                    found, owner = _signatures(sets, at, who, upper, percent)
                     regions.add(found, ids[owner])
             if regions.n >= _FLUSH:
                 yield from regions.drain()
@@ -221,11 +221,11 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _links(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the linked pairs."""
     inter = np.rint(_overlaps(left, right)).astype(np.int64)
     union = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None] - inter
-    return np.nonzero((100 * inter >= PERCENT * union) & (union > 0))
+    return np.nonzero((100 * inter >= percent * union) & (union > 0))
 
 
 def _distances(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
@@ -238,19 +238,19 @@ def _sets_of(column) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
-def _join_group(table: pa.Table) -> pa.Table:
+def _join_group(table: pa.Table, percent: int) -> pa.Table:
     """Star edges of the links within a group or between two blocks (side 0 and 1; a group has side 0 only)."""
     ids, side = table["id"].to_numpy(), table["side"].to_numpy()
     sets = _sets_of(table["items"])
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if not len(right):
         right = left
-    a, b = _links([sets[i] for i in left], [sets[i] for i in right])
+    a, b = _links([sets[i] for i in left], [sets[i] for i in right], percent)
     node, root = forest(ids[left][a], ids[right][b])
     return pa.table([pa.array(node[node != root]), pa.array(root[node != root])], names=["a", "b"])
 
 
-def _cells(table: pa.Table) -> pa.Table:
+def _cells(table: pa.Table, percent: int) -> pa.Table:
     """Documents of a part of a group with the cells of the group's pivots that they belong to."""
     sets, pivot, ids = _sets_of(table["items"]), table["pivot"].to_numpy(zero_copy_only=False), table["id"].to_numpy()
     pivots = np.flatnonzero(pivot == 1)
@@ -259,22 +259,29 @@ def _cells(table: pa.Table) -> pa.Table:
     if not len(mine):
         return table.slice(0, 0).select(["group", "id", "items"]).append_column("cell", pa.array([], pa.int64()))
     d = _distances([sets[i] for i in mine], [sets[i] for i in pivots])
-    near = d <= d.min(1, keepdims=True) + 2 * (100 - PERCENT) / 100 + 1e-6
+    near = d <= d.min(1, keepdims=True) + 2 * (100 - percent) / 100 + 1e-6
     doc, cell = np.nonzero(near)
     return table.take(pa.array(mine[doc])).select(["group", "id", "items"]).append_column("cell", pa.array(cell.astype(np.int64)))
 
 
-def _region_edges(rows: DataFrame, group_docs: int, levels: int) -> DataFrame:
+def _region_edges(rows: DataFrame, group_docs: int, levels: int, percent: int) -> DataFrame:
     """a, b: links among the documents of each group. rows: group, id, items (a binary set), repeated (group, id) allowed."""
     spark = rows.sparkSession
     edges = []
+
+    def join_group(table: pa.Table) -> pa.Table:
+        return _join_group(table, percent)
+
+    def cells_of(table: pa.Table) -> pa.Table:
+        return _cells(table, percent)
+
     for level in range(levels + 1):
         sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
         large = checkpoint(sizes.where(F.col("n") > group_docs))
         n_large = large.count()
         large = F.broadcast(large) if n_large <= BROADCAST_IDS else large
         small = rows.join(large.select("group"), "group", "left_anti") if n_large else rows
-        edges.append(small.withColumn("side", F.lit(0)).groupBy("group").applyInArrow(_join_group, "a long, b long"))
+        edges.append(small.withColumn("side", F.lit(0)).groupBy("group").applyInArrow(join_group, "a long, b long"))
         if not n_large:
             break
         held = rows.join(large, "group")
@@ -286,30 +293,36 @@ def _region_edges(rows: DataFrame, group_docs: int, levels: int) -> DataFrame:
             mine = held.withColumn("part", F.pmod(F.xxhash64("id", F.lit(level)), parts)).withColumn("pivot", F.lit(0))
             copies = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("pivot", F.lit(1))
             both = mine.select("group", "part", "pivot", "id", "items").unionByName(copies.select("group", "part", "pivot", "id", "items"))
-            cells = checkpoint(both.groupBy("group", "part").applyInArrow(_cells, "group long, id long, items binary, cell long"))
+            cells = checkpoint(both.groupBy("group", "part").applyInArrow(cells_of, "group long, id long, items binary, cell long"))
             # a group whose documents mostly belong to several cells gets no smaller this way
             dense = checkpoint(cells.groupBy("group").agg(F.count(F.lit(1)).alias("k")).join(large, "group").where(F.col("k") > 2 * F.col("n")).select("group"))
             rows = cells.join(dense, "group", "left_anti").select(F.xxhash64("group", "cell").alias("group"), "id", "items")
             held = held.join(dense, "group", "left_semi")
-        edges.append(_block_edges(held, group_docs))
+        edges.append(_block_edges(held, group_docs, percent))
     out = spark.createDataFrame([], "a long, b long")
     for e in edges:
         out = out.unionByName(e)
     return out
 
 
-def _block_edges(held: DataFrame, group_docs: int) -> DataFrame:
+def _block_edges(held: DataFrame, group_docs: int, percent: int) -> DataFrame:
     """Links of groups of n documents by pairs of blocks."""
     blocks = F.ceil(F.col("n") / group_docs).cast("int")
     placed = held.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     pairs = placed.select("group", "id", "items", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    return pairs.groupBy("group", "lo", "hi").applyInArrow(_join_group, "a long, b long")
+
+    def join_group(table: pa.Table) -> pa.Table:
+        return _join_group(table, percent)
+
+    return pairs.groupBy("group", "lo", "hi").applyInArrow(join_group, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, group_docs: int = GROUP_DOCS, levels: int = LEVELS) -> DataFrame:
-    """id, component_id of the documents that link with another; component_id is the smallest id reachable by links."""
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, group_docs: int = GROUP_DOCS, levels: int = LEVELS) -> DataFrame:
+    """id, component_id of the documents that link with another; component_id is the smallest id reachable by links. percent: 1 to 99."""
+    if not 1 <= percent <= 99:
+        raise ValueError(f"percent must be from 1 to 99, not {percent}")
     buckets = max(256, -(-text_size(docs, text) // _BUCKET_BYTES))
-    found = checkpoint(candidates(docs, buckets, key, text, shingle))
+    found = checkpoint(candidates(docs, buckets, key, text, shingle, percent))
     stars, equal = found.where("kind = 0").select("a", "b").distinct(), found.where("kind = 1").select("a", "b")
     groups = checkpoint(components(stars).select(F.col("node").alias("id"), F.col("component").alias("group")))
     n = groups.count()
@@ -323,13 +336,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(items, pa.binary())], ["group", "id", "items"])
 
     rows = checkpoint(texts.select("group", "id", "text").mapInArrow(sets, "group long, id long, items binary"))
-    edges = _region_edges(rows, group_docs, levels).unionByName(equal)
+    edges = _region_edges(rows, group_docs, levels, percent).unionByName(equal)
     return components(edges, local=False).select(F.col("node").alias("id"), F.col("component").alias("component_id"))
 
 
-def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, **options) -> DataFrame:
+def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:
     """One row for each row of docs: key, n_shingles, component_id."""
-    linked = jaccard_components(docs, key, text, shingle, **options)
+    linked = jaccard_components(docs, key, text, shingle, percent, **options)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -341,7 +354,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs without those that link, over any number of links, to a document with a smaller id."""
-    gone = checkpoint(jaccard_components(docs, key, text).where("id <> component_id").select(F.col("id").alias("_gone")))
+    gone = checkpoint(jaccard_components(docs, key, text, shingle, percent).where("id <> component_id").select(F.col("id").alias("_gone")))
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(key).cast("long") == F.col("_gone"), "left_anti")

@@ -29,3 +29,10 @@ def test_odd_documents_pass(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DIR) if name != "decontamination" or os.path.isdir(DIR) else docs
     assert {r["doc_id"] for r in docs.collect()} >= {4, 10} and not {r["doc_id"] for r in docs.collect()} & {1, 2, 3}
+
+
+def test_near_copies_of_five_words_and_four_fifths(spark):
+    one = [f"word{i}" for i in range(100)]
+    two = [f"other{i}" if i in (30, 60) else w for i, w in enumerate(one)]  # 86 of 106 shingles of five words, 89 of 105 of four
+    docs = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two)), (3, "words of its own that nothing else has")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, DIR).collect()) == [1, 3]

@@ -240,3 +240,24 @@ def test_long_documents_are_found_by_their_whole_text(spark):
     last = max((r for r in rows if r["doc_id"] == 1), key=lambda r: r["start"])
     mates = {r["doc_id"] for r in rows if r["sequence_id"] == last["sequence_id"]} - {1}
     assert last["start"] + last["length"] == last["doc_tokens"] and 2 in mates
+
+
+def same_groups_by_force(docs, shingle, percent):
+    sets = {}
+    for d, t, _ in docs:
+        w = re.findall(WORD, lower(t))
+        sets[d] = {tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} or ({tuple(w)} if w else set())
+    label = {d: d for d in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and (n := len(sets[a] & sets[b])) and 100 * n >= percent * len(sets[a] | sets[b])]
+    while moved := [(a, b) for a, b in pairs if label[a] != label[b]]:
+        for a, b in moved:
+            label[a] = label[b] = min(label[a], label[b])
+    return {d: (len(sets[d]), label[d]) for d in sets}
+
+
+@pytest.mark.parametrize("options", [{}, {"group_docs": 8, "levels": 2}, {"group_docs": 8, "levels": 0}])
+@pytest.mark.parametrize("shingle, percent", [(5, 80), (3, 50)])
+def test_jaccard_join_of_other_thresholds(spark, rng, shingle, percent, options):
+    docs = near_copies(rng)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(frame(spark, docs), shingle=shingle, percent=percent, **options).collect()}
+    assert got == same_groups_by_force(docs, shingle, percent)
