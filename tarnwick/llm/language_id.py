@@ -2,7 +2,7 @@
 
 A text is a normalised TF-IDF vector of hashed byte n-grams of its lower-cased letters (DIMENSIONS buckets, n-grams of three
 and of two bytes). ``fit`` counts document frequencies over all training rows, then clusters a bounded sample of
-them (FIT_ROWS, chosen by a hash of the text) into CENTROIDS spherical clusters per language. ``identify`` gives each text the
+their distinct texts (FIT_ROWS, those with the least hashes of each language) into CENTROIDS spherical clusters per language. ``identify`` gives each text the
 language of the centroid with the largest cosine, the score, and ``rejected`` where the distance says that it's no text of a
 known language: no letters at all, or a cosine below the model's limit, which is far below that of nearly all
 training rows.
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,13 +113,25 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", rows: int = FI
     idf = (np.log((1 + total) / (1 + df[:-1])) + 0.05).astype(np.float32)
     if not total:
         return Model([], idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
-    # the sample: rows whose hash is small, with a limit of its own for each language, so that rare languages have centroids too
+    # the sample: each language's distinct texts with the least hashes, so that every language has some, however many rows are copies
     sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     found, share = sorted(sizes), max(30, rows // max(1, len(sizes)))
-    key, small = F.xxhash64("text"), F.lit(False)
-    for name, n in sizes.items():
-        small = small | ((F.col("lang") == name) & (F.pmod(key, F.lit(1 << 30)) < int((1 << 30) * min(1.0, share / n)) + 1))
-    picked = train.where(small).select(key.alias("h"), "text", "lang").limit(2 * rows + 60 * len(found)).collect()
+    hashed = train.where(F.col("lang").isin(found)).select("lang", F.xxhash64("text").alias("h"), "text")
+    least = hashed.select("lang", "h").distinct().withColumn("_at", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("_at") <= share).select("lang", "h")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for b in batches:
+            fresh = []
+            for k, pair in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if pair not in seen:
+                    seen.add(pair)
+                    fresh.append(k)
+            yield b.take(pa.array(fresh, pa.int64()))
+
+    # at most share rows a language, so they may be broadcast and collected
+    copies = hashed.join(F.broadcast(least), ["lang", "h"]).mapInArrow(once, "lang string, h long, text string")
+    picked = copies.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     centroids, owner, limit = [], [], []
     for i, name in enumerate(found):
         texts = pa.array([r["text"] for r in sorted((r for r in picked if r["lang"] == name), key=lambda r: (r["h"], r["text"]))], pa.string())

@@ -74,3 +74,14 @@ def test_without_labels(spark):
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r["predicted"] for r in toxicity.score(docs, model).collect()] == [0, 0]
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_languages_of_copies(spark, rng):
+    train = [(f"{t} number {i}", lang) for lang in ("en", "de") for i, t in enumerate(texts(rng, lang, 300))]
+    train += [("être où leçon garçon", "fr")] * 2000 + [("eaux quoi être", "fr")] * 2000
+    train += [(t, "es") for t in ["mañana niño señor", "año español pequeño"] for _ in range(1500)]
+    model = language_id.fit(spark.createDataFrame(train, "text string, lang string").repartition(4), rows=120)
+    assert model.languages == ["de", "en", "es", "fr"] and set(model.owner.tolist()) == {0, 1, 2, 3}
+    rows = [("garçon où", "fr"), ("niño español", "es"), ("the water house", "en"), ("nicht über straße", "de")]
+    found = language_id.identify(spark.createDataFrame(rows, "text string, lang string"), model).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in found) and len(found) == 4
