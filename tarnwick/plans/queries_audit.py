@@ -50,6 +50,13 @@ def tolerance_join(spark, sf):
     return rounded(pairs.tolerance_join(measurements(spark, sf).where("solvent < 'NATION_12'"), KEYS, "source", "t", "y", ORDER))
 
 
+@query(rounded_sql("", """SELECT solute, solvent, source1, source2, t1, y1, t2, y2 FROM (SELECT a.solute, a.solvent, a.source AS source1, b.source AS source2, a.t AS t1, a.y AS y1, b.t AS t2, b.y AS y2, row_number() OVER (PARTITION BY a.rid, b.source ORDER BY b.rid) AS r
+  FROM m a JOIN m b ON a.solute = b.solute AND a.solvent = b.solvent AND a.source < b.source AND abs(b.t - a.t) < 1e-1) WHERE r = 1""", "t1 y1 t2 y2"))
+def tolerance_join_all(spark, sf):
+    """tolerance_join over the whole table, every nation."""
+    return rounded(pairs.tolerance_join(measurements(spark, sf), KEYS, "source", "t", "y", ORDER))
+
+
 @query(rounded_sql("""ref AS (SELECT solute, solvent, median(t) AS t_ref FROM m GROUP BY ALL), d AS (SELECT m.*, t_ref, abs(t - t_ref) AS d FROM m JOIN ref USING (solute, solvent)),
   k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY solute, solvent, source ORDER BY d, rid) AS r FROM d) WHERE r = 1 AND d <= 5)""",
     "SELECT solute, solvent, t_ref, count(*) AS n_sources, max(y) - min(y) AS y_range FROM k GROUP BY ALL HAVING count(*) >= 2", "t_ref y_range"))
@@ -143,6 +150,16 @@ def independence_groups(spark, sf):
     return audit.independence_groups(edges, measurements(spark, sf), "source")
 
 
+ALL_GROUPS = """e AS (SELECT source1 AS a, source2 AS b FROM c UNION SELECT source2, source1 FROM c),
+  reach(node, root) AS (SELECT DISTINCT source, source FROM m UNION SELECT e.b, reach.root FROM reach JOIN e ON reach.node = e.a)"""
+
+
+@query(rounded_sql(COPIES + ", " + ALL_GROUPS, "SELECT node AS source, min(root) AS group_id FROM reach GROUP BY node").replace("WITH m AS", "WITH RECURSIVE m AS", 1))
+def independence_groups_all(spark, sf):
+    """independence_groups with the copies of every nation."""
+    return audit.independence_groups(_copies(spark, sf).select("source1", "source2").distinct(), measurements(spark, sf), "source")
+
+
 FINE = "f AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.solute = p.solute AND c.solvent = p.solvent AND c.source1 = p.source1 AND c.source2 = p.source2))"
 RELIABILITY = COPIES + ", " + FINE + """, h AS (SELECT solute, solvent, t, source1 AS source, y1 AS y, y2 AS o FROM f UNION ALL SELECT solute, solvent, t, source2, y2, y1 FROM f),
   dev AS (SELECT solute, solvent, t, source, abs(y - median(o)) AS d FROM h GROUP BY solute, solvent, t, source, y),
