@@ -504,6 +504,15 @@ def interaction_top(spark, sf):
     return rounded(rollup.interactions(both, "i", "j", "z"))
 
 
+@query(f"""WITH {FEATURES} SELECT a.pos AS i, b.pos AS j, round(avg(abs(a.v * b.v)), 6) AS strength FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.pos < b.pos GROUP BY 1, 2 ORDER BY avg(abs(a.v * b.v)) DESC, i, j LIMIT 50""")
+def interaction_top_all(spark, sf):
+    """interaction_top of all pairs of features; a vector's pairs come from its own array, without a join."""
+    rows = table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("e"))
+    one = rows.select("e", F.posexplode("e").alias("i", "a"))
+    both = one.select(F.col("i").cast("long").alias("i"), "a", F.posexplode("e").alias("j", "b")).withColumn("j", F.col("j").cast("long")).where("i < j")
+    return rounded(rollup.interactions(both.withColumn("z", F.col("a") * F.col("b")), "i", "j", "z"))
+
+
 @query(rounded_sql("", "SELECT solvent, flag, avg(abs(y)) AS mean_abs, stddev_pop(abs(y)) AS std, count(*) AS n FROM m GROUP BY ALL HAVING count(*) >= 100", "mean_abs std"))
 def occlusion_rollup(spark, sf):
     return rounded(rollup.occlusion(measurements(spark, sf), ["solvent", "flag"], "y", 100))

@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 
 from tarnwick.plans import queries_audit, registry
@@ -26,3 +27,13 @@ def test_groups_use_copies_of_every_nation(spark):
         for c in moved:
             label[c["source1"]] = label[c["source2"]] = min(label[c["source1"]], label[c["source2"]])
     assert group == label
+
+
+def test_interactions_look_at_every_feature(spark):
+    vectors = [r["embedding"] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect()]
+    x = np.abs(np.array(vectors, float))
+    mean = x.T @ x / len(x)
+    best = sorted(((-mean[i, j], i, j) for i in range(64) for j in range(i + 1, 64)))[:50]
+    got = [(r["i"], r["j"], r["strength"]) for r in registry.QUERIES["interaction_top_all"](spark, DIR).collect()]
+    assert [g[:2] for g in got] == [b[1:] for b in best] and [g[2] for g in got] == pytest.approx([-b[0] for b in best], abs=1e-6)
+    assert any(j >= 12 for _, j, _ in got)
