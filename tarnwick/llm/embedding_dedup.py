@@ -1,7 +1,7 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products within cells, one vector kept per group.
 
 Equal vectors are first made one, with a count. A sample of FIT_ROWS vectors, chosen by a hash, gives the
-centroids; their number follows the number of vectors up to MAX_CELLS. A vector belongs to its nearest centroid's cell, and is a guest in each cell whose
+centroids; their number follows the number of vectors up to MAX_CELLS. Each length has centroids of its own, in proportion. A vector belongs to its nearest centroid's cell, and is a guest in each cell whose
 cosine is at most MARGIN below the nearest one's. A cell compares its own vectors with each other and with its guests, in double precision, as
 products of blocks; a cell of more than BLOCK_ROWS vectors is dealt out as pairs of blocks, each a task of its own. A pair that
 both vectors' cells see is counted in the smaller cell only. Each task returns a count and one link for each vector, never pairs.
@@ -9,8 +9,8 @@ both vectors' cells see is counted in the smaller cell only. Each task returns a
 The cells are the only approximation: a pair is missed only if neither vector is a guest in the other's cell. With MARGIN 0.15, vectors of
 a cosine of 0.9 meet nearly always (the tests measure recall against brute force).
 
-Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and so do vectors of another length than
-the most frequent one. Rows with a null id are returned with no links and aren't kept. Repeated rows count as further vectors.
+Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and vectors of different lengths
+don't link with each other. Rows with a null id are returned with no links and aren't kept. Repeated rows count as further vectors.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,26 +54,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def _assign(reps: DataFrame, centroids: np.ndarray, margin: float) -> DataFrame:
-    """cell, id, copies, vec, home (its own cell) and cells (all its cells), a row for each cell."""
+def _assign(reps: DataFrame, centroids: dict[int, tuple[int, np.ndarray]], margin: float) -> DataFrame:
+    """cell, id, copies, vec, home (its own cell) and cells (all its cells), a row for each cell. centroids: for each length, its first cell's number and its centroids."""
     held = reps.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = held.value
         for batch in batches:
-            for a in range(0, batch.num_rows, _ROWS):
-                b = batch.slice(a, _ROWS)
-                x = _unit(np.array(b.column(2).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1))
-                s = x @ c.T
-                home = s.argmax(1)
-                near = s >= s.max(1, keepdims=True) - margin
-                near[np.arange(len(home)), home] = True
-                row, cell = np.nonzero(near)
-                cells = np.split(cell, np.cumsum(np.bincount(row, minlength=len(home)))[:-1])
-                take = pa.array(row)
-                vec = pa.array([v.tobytes() for v in x], pa.binary()).take(take)
-                listed = pa.array([z.astype(np.int32).tobytes() for z in cells], pa.binary()).take(take)
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b.column(0).take(take), b.column(1).take(take), vec, pa.array(home[row], pa.int32()), listed], ["cell", "id", "copies", "vec", "home", "cells"])
+            lengths = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            for length in np.unique(lengths).tolist():
+                first, c = held.value[length]
+                alike = batch.take(pa.array(np.flatnonzero(lengths == length)))
+                for a in range(0, alike.num_rows, _ROWS):
+                    b = alike.slice(a, _ROWS)
+                    x = _unit(np.array(b.column(2).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1))
+                    s = x @ c.T
+                    home = s.argmax(1)
+                    near = s >= s.max(1, keepdims=True) - margin
+                    near[np.arange(len(home)), home] = True
+                    row, cell = np.nonzero(near)
+                    home, cell = home + first, cell + first
+                    cells = np.split(cell, np.cumsum(np.bincount(row, minlength=len(home)))[:-1])
+                    take = pa.array(row)
+                    vec = pa.array([v.tobytes() for v in x], pa.binary()).take(take)
+                    listed = pa.array([z.astype(np.int32).tobytes() for z in cells], pa.binary()).take(take)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b.column(0).take(take), b.column(1).take(take), vec, pa.array(home[row], pa.int32()), listed], ["cell", "id", "copies", "vec", "home", "cells"])
 
     return reps.mapInArrow(run, "cell int, id long, copies long, vec binary, home int, cells binary")
 
@@ -115,22 +120,27 @@ def near_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     v = F.col(vector)
     valid = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0) & F.col(key).isNotNull()
     rows = vectors.select(F.col(key).cast("long").alias("id"), v.cast("array<double>").alias("vec"), F.coalesce(valid, F.lit(False)).alias("valid"))
-    lengths = rows.where("valid").groupBy(F.size("vec").alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "n").limit(1).collect()
-    length = lengths[0]["n"] if lengths else 0
-    marked = rows.select("id", "vec", (F.col("valid") & (F.size("vec") == length)).alias("valid"), F.xxhash64("vec").alias("h1"), F.xxhash64("vec", F.lit(11)).alias("h2"))
+    marked = rows.select("id", "vec", "valid", F.xxhash64("vec").alias("h1"), F.xxhash64("vec", F.lit(11)).alias("h2"))
     good = marked.where("valid")
     reps = checkpoint(good.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")))
-    n = reps.count()
+    sizes = {r["n"]: r["k"] for r in reps.groupBy(F.size("vec").alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    n = sum(sizes.values())
     picked = reps.where(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIT_ROWS / max(1, n))) + 1).select("rep", "vec").limit(2 * FIT_ROWS).collect()
-    if not picked:
+    if not n:
         return marked.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    sample = _unit(np.array([r["vec"] for r in sorted(picked, key=lambda r: r["rep"])], np.float64))
-    centroids = spherical_kmeans(sample, int(min(MAX_CELLS, len(sample), max(1, -(-n // cell_rows)))))
+    centroids, first = {}, 0
+    for length, size in sorted(sizes.items()):
+        sample = [r["vec"] for r in sorted((r for r in picked if len(r["vec"]) == length), key=lambda r: r["rep"])]
+        k = min(MAX_CELLS * size // n, -(-size // cell_rows), len(sample))
+        # one cell holds all of its length, so its centroid doesn't matter
+        found = spherical_kmeans(_unit(np.array(sample, np.float64)), k) if k > 1 else np.full((1, length), length**-0.5)
+        centroids[length] = (first, found)
+        first += len(found)
     placed = _assign(reps.select(F.col("rep").alias("id"), "copies", "vec"), centroids, margin)
-    # the cells' sizes are at most MAX_CELLS rows, so they may be broadcast
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows)
+    # a cell of that many rows is one of at most MAX_CELLS, or all of a length, so the sizes may be broadcast
+    large = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows)
     blocks = F.coalesce(F.ceil(2 * F.col("n") / block_rows), F.lit(1)).cast("int")
-    dealt = placed.join(F.broadcast(sizes), "cell", "left").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = placed.join(F.broadcast(large), "cell", "left").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = dealt.select("cell", "id", "copies", "vec", "home", "cells", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
 

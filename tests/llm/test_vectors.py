@@ -44,3 +44,15 @@ def test_nothing_to_compare(spark):
     assert embedding_dedup.near_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     (r,) = embedding_dedup.near_dedup(spark.createDataFrame([(3, None)], "vec_id long, embedding array<float>")).collect()
     assert (r["n_links"], r["component_id"], r["kept"]) == (0, 3, True)
+
+
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 4}])
+def test_every_length_is_compared(spark, options):
+    rng, rows = np.random.default_rng(3), []
+    for length, n in ((64, 30), (16, 12), (3, 5)):
+        base = rng.normal(size=length)
+        rows += [(len(rows) + k, (base + rng.normal(size=length) * 0.05).tolist()) for k in range(n)]
+    rows += [(100, [1.0]), (101, [2.0]), (102, [-1.0]), (103, [0.0, 1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), **options).collect()}
+    want = {i: (29, 0) for i in range(30)} | {i: (11, 30) for i in range(30, 42)} | {i: (4, 42) for i in range(42, 47)} | {100: (1, 100), 101: (1, 100), 102: (0, 102), 103: (0, 103)}
+    assert got == want
