@@ -530,6 +530,12 @@ def fit_quality_filter(spark, sf):
     return rounded(rows.where(good).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean")))
 
 
+@query(rounded_sql(FITS, "SELECT count(*) AS n, avg(r2) AS mean FROM fit WHERE r2 >= 8e-1 AND rmse <= 3e-1 AND t_min <= 298.15e0 AND t_max >= 298.15e0", "mean", 4))
+def fit_quality_filter_fits(spark, sf):
+    """fit_quality_filter of the fits themselves, with thresholds that reject some."""
+    return rounded(_fits(spark, sf).withColumn("model", F.lit("apelblat")).where(filters.fit_quality(["apelblat"], 0.8)).agg(F.count(F.lit(1)).alias("n"), F.avg("r2").alias("mean")), 4)
+
+
 @query()
 def scaling_fit(spark, sf):
     e = F.abs(F.col("y") - F.col("x"))

@@ -37,3 +37,10 @@ def test_interactions_look_at_every_feature(spark):
     got = [(r["i"], r["j"], r["strength"]) for r in registry.QUERIES["interaction_top_all"](spark, DIR).collect()]
     assert [g[:2] for g in got] == [b[1:] for b in best] and [g[2] for g in got] == pytest.approx([-b[0] for b in best], abs=1e-6)
     assert any(j >= 12 for _, j, _ in got)
+
+
+def test_fit_filter_rejects_fits(spark):
+    fits = queries_audit._fits(spark, DIR).collect()
+    good = [f for f in fits if f["r2"] is not None and f["r2"] >= 0.8 and f["rmse"] <= 0.3 and f["t_min"] <= 298.15 <= f["t_max"]]
+    (r,) = registry.QUERIES["fit_quality_filter_fits"](spark, DIR).collect()
+    assert 0 < r["n"] == len(good) < len(fits)
