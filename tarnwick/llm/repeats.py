@@ -136,8 +136,8 @@ def _doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, spec: Windows) -> DataFrame:
-    """id, spans (binary values of ``first window << 16 | number of windows``), of documents with repeated windows. docs: id long, text, both not null."""
-    buckets = max(256, -(-text_size(docs) // _BUCKET_BYTES))
+    """id, spans (binary values of ``first window << 16 | number of windows``), of documents with repeated windows. docs: id long, body_, both not null."""
+    buckets = max(256, -(-text_size(docs, "body_") // _BUCKET_BYTES))
     window, mode = spec.window, spec.mode
     rows = docs
 
@@ -157,7 +157,7 @@ def repeated_windows(docs: DataFrame, spec: Windows) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for b in pieces(batches):
+        for b in pieces(batches, "body_"):
             ids = b.column(0).to_numpy().astype(np.int64).view(np.uint64)
             data, off = text_bytes(b.column(1))
             rolling, at, _ = spec.items(data, off)
@@ -204,7 +204,7 @@ def repeated_windows(docs: DataFrame, spec: Windows) -> DataFrame:
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The contexts of anchors of grams with few contexts (kind 4), and the windows of those with many (kind 5)."""
-        for b in pieces(batches):
+        for b in pieces(batches, "body_"):
             ids = b.column(0).to_numpy().astype(np.int64).view(np.uint64)
             data, off = text_bytes(b.column(1))
             rolling, at, items = spec.items(data, off)
@@ -262,17 +262,18 @@ def repeated_windows(docs: DataFrame, spec: Windows) -> DataFrame:
     first = rows.mapInArrow(find, blob).groupBy("bucket").applyInArrow(meet, blob).groupBy("bucket").applyInArrow(by_document, told)
     first = checkpoint(first)
     open_ = first.where("few is not null or many is not null").select("id", "few", "many")
-    second = rows.select("id", "text").join(open_, "id").mapInArrow(again, blob).groupBy("bucket").applyInArrow(match, blob).groupBy("bucket").applyInArrow(by_document, told)
+    second = rows.select("id", "body_").join(open_, "id").mapInArrow(again, blob).groupBy("bucket").applyInArrow(match, blob).groupBy("bucket").applyInArrow(by_document, told)
     both = first.select("id", "spans").unionByName(second.select("id", "spans")).where("spans is not null")
     return both.groupBy("id").agg(F.collect_list("spans").alias("spans"))
 
 
 def with_repeats(docs: DataFrame, key: str, text: str, spec: Windows) -> DataFrame:
-    """id, text, spans (array of binary) for each row of docs. Both joins with the texts deal them by id in the same way, so Spark shuffles them once."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    known = rows.where("id is not null and text is not null")
+    """id, body_ (the text), spans (array of binary) for each row of docs. Both joins with the texts deal them by id in the same way, so Spark shuffles them once."""
+    # new names: an alias that renames nothing may be dropped from one of the two plans only, which then differ
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body_"))
+    known = rows.where("id is not null and body_ is not null")
     found = known.join(repeated_windows(known, spec), "id", "left")
-    return found.unionByName(rows.where("id is null or text is null").withColumn("spans", F.lit(None).cast("array<binary>")))
+    return found.unionByName(rows.where("id is null or body_ is null").withColumn("spans", F.lit(None).cast("array<binary>")))
 
 
 def covered(spans: list, at: np.ndarray, window: int) -> np.ndarray:

@@ -84,7 +84,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     rows = with_repeats(docs, key, text, Windows(_items, window, gram, "any", automaton_matches))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, "body_"):
             data, off = text_bytes(b.column(1))
             start, end, at = words(data, off, NOT_SPACE)
             gone = covered(b.column(2).to_pylist(), at, window)
