@@ -140,3 +140,14 @@ def words(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.nda
     end[:-1] &= ~held[1:] | edge[1:-1]
     first = np.flatnonzero(start)
     return first, np.flatnonzero(end) + 1, np.searchsorted(first, off)
+
+
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each led by as many underscores as it takes to differ from all ``taken`` ones in any case."""
+    held, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out

@@ -4,8 +4,14 @@ A text is a normalised TF-IDF vector of hashed byte n-grams of its lower-cased l
 and of two bytes). ``fit`` counts document frequencies over all training rows, then clusters a bounded sample of
 their distinct texts (FIT_ROWS, those with the least hashes of each language) into CENTROIDS spherical clusters per language. ``identify`` gives each text the
 language of the centroid with the largest cosine, the score, and ``rejected`` where the distance says that it's no text of a
-known language: no letters at all, or a cosine below the model's limit, which is far below that of nearly all
-training rows.
+known language: no letters at all, or a cosine below the limit.
+
+The limit depends on the number of n-grams, since a short text is far from every centroid. For each class of lengths two cosines are taken from the
+sample: what FOREIGN of its texts stay below when their own language's centroids are left out, as texts of an unknown language would, and what all but FALSE
+of them reach with their own language. The limit lies halfway between, or at the second where the two overlap. Classes of which the sample has few texts
+take the limit of the next shorter one. A model of a single language rejects only texts without letters.
+
+More than MOST_LANGUAGES different labels are an error, none is left out.
 
 Cases: null texts and texts without a letter get ``und``, score 0 and are rejected. Repeated rows are answered alike. Without
 any training rows every text is ``und``. Further columns pass through, columns named like the outputs are replaced.
@@ -24,21 +30,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwick.llm.columns import pieces, text_bytes
+from tarnwick.llm.columns import pieces, text_bytes, unused
 
 #: Rows of the bounded sample on which the centroids are fitted.
 FIT_ROWS = 3000
 CENTROIDS = 3
-#: Languages that a model knows, the most frequent ones.
-LANGUAGES = 500
+#: Of each language at least so many texts are sampled, so beyond FIT_ROWS / LEAST_ROWS languages the sample grows with their number.
+LEAST_ROWS = 30
+#: A model of more languages (some 50 KB each on every machine) is refused.
+MOST_LANGUAGES = 2000
 DIMENSIONS = 4096
-#: A cosine below this share of the language's own first percentile is a rejection.
-REJECT_SHARE = 0.15
+#: Shares of the sample's texts, see above.
+FOREIGN, FALSE = 0.99, 0.002
+#: Texts of a class of lengths (powers of four) that a limit needs.
+LEAST_CLASS = 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
 #: Bytes of one n-gram pass.
 _PASS = 1 << 19
+_CLASSES = 16
 
 
 @dataclass
@@ -47,6 +58,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
+    #: For each class of lengths the least cosine that isn't rejected.
     limit: np.ndarray
 
 
@@ -84,6 +96,23 @@ def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def _length_class(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(counts.sum(1), 1)) // 2, _CLASSES - 1).astype(int)
+
+
+def _limits(own: np.ndarray, other: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The limit of each class of lengths, from the sample's cosines with their own language and with the nearest other one."""
+    out = np.zeros(_CLASSES)
+    for k in range(_CLASSES):
+        here = kind == k
+        if here.sum() >= LEAST_CLASS:
+            near, far = np.quantile(own[here], FALSE), np.quantile(other[here], FOREIGN)
+            out[k] = near if far >= near else (near + far) / 2
+        elif k:
+            out[k] = out[k - 1]
+    return out
+
+
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means; the seeds are means of interleaved rows, so no odd row is a cluster of its own. Deterministic."""
     k = min(k, len(x))
@@ -114,60 +143,78 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", rows: int = FI
     if not total:
         return Model([], idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
     # the sample: each language's distinct texts with the least hashes, so that every language has some, however many rows are copies
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    found, share = sorted(sizes), max(30, rows // max(1, len(sizes)))
-    hashed = train.where(F.col("lang").isin(found)).select("lang", F.xxhash64("text").alias("h"), "text")
+    found = sorted(r["lang"] for r in train.select("lang").distinct().collect())
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"{len(found)} languages; a model has at most {MOST_LANGUAGES}")
+    share = max(LEAST_ROWS, rows // len(found))
+    hashed = train.select("lang", F.xxhash64("text").alias("h"), "text")
     least = hashed.select("lang", "h").distinct().withColumn("_at", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("_at") <= share).select("lang", "h")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The counts of each text once a task: what goes to the driver doesn't grow with the texts' lengths."""
         seen = set()
-        for b in batches:
+        for b in pieces(batches):
             fresh = []
             for k, pair in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 if pair not in seen:
                     seen.add(pair)
                     fresh.append(k)
-            yield b.take(pa.array(fresh, pa.int64()))
+            b = b.take(pa.array(fresh, pa.int64()))
+            counts = gram_counts(b.column(2))
+            slots = [np.flatnonzero(c) for c in counts]
+            raw = [s.astype(np.uint16).tobytes() + c[s].tobytes() for s, c in zip(slots, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], ["lang", "h", "raw"])
 
     # at most share rows a language, so they may be broadcast and collected
-    copies = hashed.join(F.broadcast(least), ["lang", "h"]).mapInArrow(once, "lang string, h long, text string")
-    picked = copies.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
-    centroids, owner, limit = [], [], []
+    copies = hashed.join(F.broadcast(least), ["lang", "h"]).mapInArrow(once, "lang string, h long, raw binary")
+    picked: dict[str, list] = {}
+    for r in sorted(copies.groupBy("lang", "h").agg(F.min("raw").alias("raw")).collect()):
+        picked.setdefault(r["lang"], []).append(bytes(r["raw"]))
+    made, owner = [], []
     for i, name in enumerate(found):
-        texts = pa.array([r["text"] for r in sorted((r for r in picked if r["lang"] == name), key=lambda r: (r["h"], r["text"]))], pa.string())
-        x = np.concatenate([_vectors(gram_counts(b.column(0)), idf) for b in pieces([pa.RecordBatch.from_arrays([texts], ["text"])])])
-        c = _cluster(x, CENTROIDS)
-        centroids.append(c)
+        c = _cluster(_vectors(_counts_of(picked[name]), idf), CENTROIDS)
+        made.append(c)
         owner += [i] * len(c)
-        limit.append(REJECT_SHARE * np.quantile((x @ c.T).max(1), 0.01))
-    return Model(found, idf, np.concatenate(centroids).astype(np.float32), np.array(owner), np.array(limit))
+    centroids, owner = np.concatenate(made).astype(np.float32), np.array(owner)
+    if len(found) == 1:  # nothing tells what is far
+        return Model(found, idf, centroids, owner, np.zeros(_CLASSES))
+    told = []
+    for i, name in enumerate(found):
+        counts = _counts_of(picked[name])
+        cosine = _vectors(counts, idf) @ centroids.T
+        told.append((cosine[:, owner == i].max(1), cosine[:, owner != i].max(1), _length_class(counts)))
+    return Model(found, idf, centroids, owner, _limits(*(np.concatenate(c) for c in zip(*told, strict=True))))
+
+
+def _counts_of(raws: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(raws), DIMENSIONS), np.float32)
+    for k, raw in enumerate(raws):
+        n = len(raw) // 6
+        out[k, np.frombuffer(raw, np.uint16, n)] = np.frombuffer(raw, np.float32, n, 2 * n)
+    return out
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (0 to 1, the best cosine) and rejected."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    docs = docs.select(*names)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_low", T.BooleanType())])
+    docs = docs.drop("lang_pred", "score", "rejected")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     held = docs.sparkSession.sparkContext.broadcast(model)
+    letter = unused(docs.columns, "letter")[0]
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         labels = np.array([*m.languages, "und"], object)
         for b in pieces(batches, text):
+            some = b.column(b.schema.get_field_index(letter)).to_numpy(zero_copy_only=False).astype(bool)
             if len(m.owner):
-                cosine = np.clip(_vectors(gram_counts(b.column(b.schema.get_field_index(text))), m.idf) @ m.centroids.T, 0, 1)
+                counts = gram_counts(b.column(b.schema.get_field_index(text)))
+                cosine = np.clip(_vectors(counts, m.idf) @ m.centroids.T, 0, 1)
                 best = cosine.argmax(1)
-                lang, score = m.owner[best], cosine[np.arange(len(best)), best].astype(float)
-                low = score < m.limit[lang]
+                lang, score = np.where(some, m.owner[best], -1), np.where(some, cosine[np.arange(len(best)), best], 0.0).astype(float)
+                low = ~some | (score < m.limit[_length_class(counts)])
             else:
                 lang, score, low = np.full(b.num_rows, -1), np.zeros(b.num_rows), np.ones(b.num_rows, bool)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels[lang], pa.string()), pa.array(score), pa.array(low)], [*b.schema.names, "_lang", "_score", "_low"])
-
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    out = docs.mapInArrow(answer, schema)
-    return out.select(
-        *names,
-        F.when(letters, F.col("_lang")).otherwise("und").alias("lang_pred"),
-        F.when(letters, F.col("_score")).otherwise(0.0).alias("score"),
-        (~letters | F.col("_low")).alias("rejected"),
-    )
+            kept = [c for c, n in zip(b.columns, b.schema.names, strict=True) if n != letter]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(labels[lang], pa.string()), pa.array(score), pa.array(low)], schema.names)
+
+    return docs.withColumn(letter, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(answer, schema)

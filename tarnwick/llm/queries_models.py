@@ -19,7 +19,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
     model = language_id.fit(docs.where(~out & F.col("doc_id").isNotNull()))
     found = language_id.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
