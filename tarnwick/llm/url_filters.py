@@ -16,6 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwick.llm.columns import unused
+from tarnwick.llm.graph import checkpoint
+
 #: A Bloom filter of at most so many blocks (40 bytes each) is broadcast; a larger one is joined by its block.
 BROADCAST_BLOCKS = 1 << 17
 #: Listed urls for each block of four lanes of 64 bits: 16 bits a url.
@@ -79,30 +82,35 @@ def bloom_filter(listed: DataFrame, key: str, blocks: int) -> DataFrame:
 
 
 def listed_flag(rows: DataFrame, key: str, listed: DataFrame, flag: str = "listed") -> DataFrame:
-    """rows with a boolean that tells whether ``key`` is among ``listed``'s only column; null keys aren't."""
-    names = listed.select(F.col(listed.columns[0]).alias("_listed")).where("_listed is not null").distinct()
-    n = max(1, names.count())
-    blocks = -(-n // URLS_PER_BLOCK)
-    bloom = bloom_filter(names, "_listed", blocks)
+    """rows with a boolean that tells whether ``key`` is among ``listed``'s only column; null keys aren't.
+
+    The distinct list is written once, as it is counted, made a filter of and joined. Rows that the filter rules out aren't shuffled, so the rows are read twice.
+    """
+    rows = rows.drop(flag)
+    name, at, maybe, *held = unused([*rows.columns, flag], "name", "at", "maybe", *(f"lane{k}" for k in range(_LANES)))
+    names = checkpoint(listed.select(F.col(listed.columns[0]).alias(name)).where(F.col(name).isNotNull()).distinct())
+    blocks = -(-max(1, names.count()) // URLS_PER_BLOCK)
+    bloom = bloom_filter(names, name, blocks).toDF(at, *held)
     bloom = F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom
     block, lanes = _place(F.col(key), blocks)
-    probed = rows.withColumn("_block", block).join(bloom.withColumnRenamed("block", "_block"), "_block", "left")
+    probed = rows.withColumn(at, block).join(bloom, at, "left")
     inside = F.lit(True)
-    for k, bit in enumerate(lanes):
-        inside = inside & (F.col(f"lane{k}").bitwiseAND(bit) != 0)
-    probed = probed.withColumn("_maybe", F.coalesce(inside & F.col(key).isNotNull(), F.lit(False))).drop("_block", *(f"lane{k}" for k in range(_LANES)))
-    never = probed.where(~F.col("_maybe")).withColumn(flag, F.lit(False))
-    hits = probed.where("_maybe").join(names, F.col(key) == F.col("_listed"), "left").withColumn(flag, F.col("_listed").isNotNull()).drop("_listed")
-    return never.unionByName(hits).drop("_maybe")
+    for k, bit in zip(held, lanes, strict=True):
+        inside = inside & (F.col(k).bitwiseAND(bit) != 0)
+    probed = probed.withColumn(maybe, F.coalesce(inside & F.col(key).isNotNull(), F.lit(False))).drop(at, *held)
+    never = probed.where(~F.col(maybe)).withColumn(flag, F.lit(False))
+    hits = probed.where(F.col(maybe)).join(names, F.col(key) == F.col(name), "left").withColumn(flag, F.col(name).isNotNull()).drop(name)
+    return never.unionByName(hits).drop(maybe)
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame, url: str = "url") -> DataFrame:
     """pages with host, path, canonical, rule, listed and verdict (``allow`` or ``block``)."""
     rows = pages.drop("host", "path", "canonical", "rule", "listed", "verdict")
     rows = rows.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "canonical": canonical_of(F.col(url))})
-    rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    rows = listed_flag(rows.withColumns({"rule": rule, "_said": said}), "canonical", listed)
-    return rows.withColumn("verdict", F.coalesce("_said", F.when(F.col("listed"), "block").otherwise("allow"))).drop("_said")
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    said = unused([*rows.columns, "rule", "listed", "verdict"], "said")[0]
+    rows = listed_flag(rows.withColumns({"rule": rule, said: verdict}), "canonical", listed)
+    return rows.withColumn("verdict", F.coalesce(said, F.when(F.col("listed"), "block").otherwise("allow"))).drop(said)
 
 
 def repeated_urls(pages: DataFrame, url: str = "url", least: int = 2) -> DataFrame:
