@@ -35,6 +35,7 @@ _ROWS = 4096
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # else squares of very large or small components leave the range
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
