@@ -8,16 +8,19 @@ suffix automaton; a document's words stream through it, which tracks the longest
 Only words that can take part reach the automaton: numpy first finds the runs of words whose q-grams all occur in
 items, for all documents of a chunk at once. That loses nothing, since every q-gram of a match occurs in an item.
 
-The items are sent to the executors in blocks of BLOCK_BYTES of text, at most BLOCKS_AT_ONCE in one pass over the documents; more items
-take more passes, and hits are joined over passes, so neither the driver nor a broadcast ever holds more than that.
+The items are dealt into blocks of BLOCK_BYTES of text, and each block's automaton is built by a task of its own and packed into arrays, which take
+about a tenth of what its dictionaries do. At most BLOCKS_AT_ONCE automata are gathered and broadcast for one pass over the documents; more items
+take more passes, and hits are joined over passes, so neither the driver nor a worker ever holds more than that.
 
 Cases: null and empty texts have no words and are never contaminated; items without words have no windows. An empty table of items leaves
 every document clean. Equal documents are answered alike; items with equal ids count once. Further columns pass through; columns
-named like the outputs are replaced.
+named like the outputs are replaced. One item must fit into a task (with some 160 times its bytes while its automaton is built).
 """
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwick.llm.columns import ALNUM, LOWER, Rolling, pieces, runs_hash, text_bytes, words
+from tarnwick.llm.columns import ALNUM, LOWER, Rolling, pieces, runs_hash, text_bytes, unused, words
 
 WINDOW = 13
 BLOCK_BYTES = 1 << 20
@@ -85,6 +88,25 @@ class SuffixAutomaton:
         return sorted(range(1, len(self.len)), key=self.len.__getitem__, reverse=True)
 
 
+class PackedAutomaton:
+    """A finished automaton in arrays: the arcs of a state are a sorted slice of symbols (unsigned 64-bit) and their targets."""
+
+    def __init__(self, sam: SuffixAutomaton):
+        sizes = np.array([len(arcs) for arcs in sam.next], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        symbol = np.fromiter((c for arcs in sam.next for c in arcs), np.uint64, int(sizes.sum()))
+        target = np.fromiter((v for arcs in sam.next for v in arcs.values()), np.int32, int(sizes.sum()))
+        order = np.lexsort((symbol, np.repeat(np.arange(len(sizes)), sizes)))
+        self.symbol, self.target = symbol[order], target[order]
+        self.link, self.len = np.array(sam.link, np.int32), np.array(sam.len, np.int32)
+
+    def step(self, state: int, symbol) -> int:
+        """The state that the arc leads to, or -1."""
+        a, z = int(self.first[state]), int(self.first[state + 1])
+        k = a if z - a == 1 else bisect_left(self.symbol, symbol, a, z)
+        return int(self.target[k]) if k < z and self.symbol[k] == symbol else -1
+
+
 class ItemIndex:
     """The automaton of a block of items, with what is needed to tell which items a match belongs to."""
 
@@ -94,34 +116,56 @@ class ItemIndex:
         start, end, at = words(data, off, ALNUM)
         hashes = Rolling(data).of(start, end)
         sequences = [hashes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        self.window, self.sam = window, SuffixAutomaton()
-        self.items: list[set] = []
+        sam = SuffixAutomaton()
+        self.window, self.names = window, sorted(set(ids))
+        number = {name: k for k, name in enumerate(self.names)}
         self.short: dict[int, list[tuple[int, str]]] = {}
         states: dict[int, set] = {}
         grams, least = [], [len(s) for s in sequences if len(s)]
         self.gram = min(_GRAM, min(least, default=_GRAM))
         self.least = min(window, min(least, default=window))
-        for name, s in zip(ids, sequences, strict=True):
+        for s in sequences:
             if len(s):
-                self.sam.add(s.tolist())
+                sam.add(s.tolist())
                 grams.append(runs_hash(s, self.gram))
         for name, s in zip(ids, sequences, strict=True):  # states can be split until all are in
             v = 0
             for k, c in enumerate(s.tolist()):
-                v = self.sam.next[v][c]
+                v = sam.next[v][c]
                 if len(s) >= window and k + 1 >= window:
-                    states.setdefault(v, set()).add(name)
+                    states.setdefault(v, set()).add(number[name])
             if 0 < len(s) < window:
                 self.short.setdefault(v, []).append((len(s), name))
-        for v in self.sam.by_length():
-            up = self.sam.link[v]
-            if v in states and self.sam.len[up] >= window:
+        for v in sam.by_length():
+            up = sam.link[v]
+            if v in states and sam.len[up] >= window:
                 states.setdefault(up, set()).update(states[v])
-        self.states = states
+        #: States that hold windows, in order, and the items of each, as a slice of item numbers.
+        self.states = np.array(sorted(states), np.int32)
+        self.bounds = np.concatenate([[0], np.cumsum([len(states[v]) for v in self.states.tolist()])]).astype(np.int64)
+        self.items = np.fromiter((k for v in self.states.tolist() for k in sorted(states[v])), np.int32, int(self.bounds[-1]))
+        self.sam = PackedAutomaton(sam)
         self.grams = np.unique(np.concatenate(grams)) if grams else np.empty(0, np.uint64)
+        self._fill()
+
+    def _fill(self) -> None:
         self.mask = np.zeros(1 << _FILTER_BITS, bool)
         self.mask[(self.grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "mask"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._fill()
+
+    def items_of(self, state: int) -> list[str]:
+        """The items that hold the windows of a state."""
+        k = int(np.searchsorted(self.states, state))
+        if k == len(self.states) or self.states[k] != state:
+            return []
+        return [self.names[i] for i in self.items[self.bounds[k] : self.bounds[k + 1]].tolist()]
+
     def runs(self, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
         """Maximal runs of words of one document whose grams all occur in items."""
         grams = runs_hash(hashes, self.gram)
@@ -141,25 +185,27 @@ class ItemIndex:
         long = last - first >= self.least
         return list(zip(first[long].tolist(), last[long].tolist(), strict=True))
 
-    def stream(self, run: list[int], base: int, spans: list[tuple[int, int]], items: set) -> None:
+    def stream(self, run: np.ndarray, base: int, spans: list[tuple[int, int]], items: set) -> None:
         """Matching statistics of one run of words; adds the windows that are hit and their items."""
-        nxt, link, length, window = self.sam.next, self.sam.link, self.sam.len, self.window
+        step, link, length, window = self.sam.step, self.sam.link, self.sam.len, self.window
         v = n = 0
         for k, c in enumerate(run):
-            while v and c not in nxt[v]:
-                v = link[v]
-                n = length[v]
-            if c in nxt[v]:
-                v = nxt[v][c]
+            to = step(v, c)
+            while v and to < 0:
+                v = int(link[v])
+                n = int(length[v])
+                to = step(v, c)
+            if to >= 0:
+                v = to
                 n += 1
             else:
                 v = n = 0
             if n >= window:
                 u = v
                 while length[link[u]] >= window:
-                    u = link[u]
+                    u = int(link[u])
                 spans.append((base + k + 1 - window, base + k + 1))
-                items.update(self.states.get(u, ()))
+                items.update(self.items_of(u))
             if self.short:
                 u, most = v, n
                 while u > 0:
@@ -167,8 +213,8 @@ class ItemIndex:
                         if size <= most:
                             spans.append((base + k + 1 - size, base + k + 1))
                             items.add(name)
-                    u = link[u]
-                    most = length[u]
+                    u = int(link[u])
+                    most = int(length[u])
 
 
 def _hits(hashes: np.ndarray, at: np.ndarray, indexes: list[ItemIndex]) -> tuple[dict[int, list], dict[int, set]]:
@@ -178,32 +224,37 @@ def _hits(hashes: np.ndarray, at: np.ndarray, indexes: list[ItemIndex]) -> tuple
     for index in indexes:
         for a, b in index.runs(hashes, at):
             doc = int(np.searchsorted(at, a, side="right")) - 1
-            index.stream(hashes[a:b].tolist(), a - int(at[doc]), spans.setdefault(doc, []), items.setdefault(doc, set()))
+            index.stream(hashes[a:b], a - int(at[doc]), spans.setdefault(doc, []), items.setdefault(doc, set()))
     return spans, items
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = 0.05, clean: bool = True) -> DataFrame:
     """docs with n_words, n_hit, items (sorted ids), contaminated and, if ``clean``, clean_text without the hit spans."""
-    names = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "contaminated", "clean_text")]
-    out = docs.select(*names).withColumns({"_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>"), "_n": F.lit(0).cast("long"), "_clean": F.lit(None).cast("string")})
-    bench = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text")).where("text is not null")
+    docs = docs.drop("n_words", "n_hit", "items", "contaminated", "clean_text")
+    held = dict(zip(("spans", "items", "n", "clean", "hit"), unused(docs.columns, "spans", "items_", "n", "clean", "hit"), strict=True))
+    out = docs.withColumns({held["spans"]: F.array().cast("array<int>"), held["items"]: F.array().cast("array<string>"), held["n"]: F.lit(0).cast("long"), held["clean"]: F.lit(None).cast("string")})
+    bench = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text")).where("text is not null").distinct()
     size = bench.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
+    bench = bench.select(F.pmod(F.xxhash64("text", "id"), F.lit(blocks)).alias("block"), "id", "text")
     context = docs.sparkSession.sparkContext
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("text", "ascending"), ("id", "ascending")])  # the same automaton each time
+        index = ItemIndex(table["id"].to_pylist(), table["text"].combine_chunks(), window)
+        return pa.table([table["block"][:1], pa.array([pickle.dumps(index)], pa.binary())], names=["block", "index"])
+
     for first in range(0, blocks, BLOCKS_AT_ONCE):
-        indexes = []
-        for k in range(first, min(blocks, first + BLOCKS_AT_ONCE)):
-            # a single block needs no hash; the sort makes the automaton the same each time
-            rows = sorted((bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)).collect())
-            indexes.append(ItemIndex([r["id"] for r in rows], pa.array([r["text"] for r in rows], pa.string()), window))
-        out = _stream(out, context.broadcast(indexes), text, clean, last=first + BLOCKS_AT_ONCE >= blocks)
-    n_hit = F.col("_hit")
-    out = out.select(*names, F.col("_n").alias("n_words"), n_hit.alias("n_hit"), F.col("_items").alias("items"), ((n_hit > 0) & (n_hit >= share * F.col("_n"))).alias("contaminated"), *([F.col("_clean").alias("clean_text")] if clean else []))
-    return out
+        made = bench.where((F.col("block") >= first) & (F.col("block") < first + BLOCKS_AT_ONCE)).groupBy("block").applyInArrow(build, "block long, index binary").collect()
+        indexes = [pickle.loads(r["index"]) for r in sorted(made, key=lambda r: r["block"])]
+        out = _stream(out, held, context.broadcast(indexes), text, clean, last=first + BLOCKS_AT_ONCE >= blocks)
+    out = out.withColumns({"n_words": F.col(held["n"]), "n_hit": F.col(held["hit"]), "items": F.col(held["items"])})
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= share * F.col("n_words")))
+    return (out.withColumn("clean_text", F.col(held["clean"])) if clean else out).drop(*held.values())
 
 
-def _stream(docs: DataFrame, held, text: str, clean: bool, last: bool) -> DataFrame:
-    schema = T.StructType([*docs.schema.fields, *([T.StructField("_hit", T.LongType())] if last else [])])
+def _stream(docs: DataFrame, names: dict[str, str], held, text: str, clean: bool, last: bool) -> DataFrame:
+    schema = T.StructType([*docs.schema.fields, *([T.StructField(names["hit"], T.LongType())] if last else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes = held.value
@@ -213,7 +264,7 @@ def _stream(docs: DataFrame, held, text: str, clean: bool, last: bool) -> DataFr
             start, end, at = words(lower := LOWER[data], off, ALNUM)
             spans, items = _hits(Rolling(lower).of(start, end), at, indexes)
             counts = np.diff(at)
-            before, listed = b.column(b.schema.get_field_index("_spans")).to_pylist(), b.column(b.schema.get_field_index("_items")).to_pylist()
+            before, listed = b.column(b.schema.get_field_index(names["spans"])).to_pylist(), b.column(b.schema.get_field_index(names["items"])).to_pylist()
             hit = np.zeros(b.num_rows, np.int64)
             cleaned = None
             for d in range(b.num_rows):
@@ -235,10 +286,10 @@ def _stream(docs: DataFrame, held, text: str, clean: bool, last: bool) -> DataFr
                             keep.append(bytes(data[lo : start[at[d] + a]]))
                             lo = int(end[at[d] + z - 1])
                         cleaned[d] = b"".join([*keep, bytes(data[lo : off[d + 1]])]).decode()
-            made = {"_spans": pa.array(before, pa.list_(pa.int32())), "_items": pa.array(listed, pa.list_(pa.string())), "_n": pa.array(counts, pa.int64())}
+            made = {names["spans"]: pa.array(before, pa.list_(pa.int32())), names["items"]: pa.array(listed, pa.list_(pa.string())), names["n"]: pa.array(counts, pa.int64())}
             if last and clean:
-                made["_clean"] = column if cleaned is None else pa.array(cleaned, column.type)
+                made[names["clean"]] = column if cleaned is None else pa.array(cleaned, column.type)
             arrays = [made.get(n, b.column(i)) for i, n in enumerate(b.schema.names)]
-            yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(hit)] if last else [])], [*b.schema.names, *(["_hit"] if last else [])])
+            yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(hit)] if last else [])], [*b.schema.names, *([names["hit"]] if last else [])])
 
     return docs.mapInArrow(run, schema)
