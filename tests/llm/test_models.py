@@ -85,3 +85,72 @@ def test_languages_of_copies(spark, rng):
     rows = [("garçon où", "fr"), ("niño español", "es"), ("the water house", "en"), ("nicht über straße", "de")]
     found = language_id.identify(spark.createDataFrame(rows, "text string, lang string"), model).collect()
     assert all(r["lang_pred"] == r["lang"] for r in found) and len(found) == 4
+
+
+def test_unknown_languages_are_rejected(spark, rng):
+    def pieces(lang, n):
+        return [" ".join(rng.choice(WORDS[lang]) for _ in range(rng.randrange(60, 200))) for _ in range(n)]
+
+    for left in WORDS:
+        model = language_id.fit(spark.createDataFrame([(t, lang) for lang in WORDS if lang != left for t in pieces(lang, 60)], "text string, lang string"))
+        rows = [(t, lang) for lang in WORDS for t in pieces(lang, 30)]
+        found = language_id.identify(spark.createDataFrame(rows, "text string, lang string"), model).collect()
+        assert sum(r["rejected"] for r in found if r["lang"] == left) >= 28
+        assert sum(r["rejected"] for r in found if r["lang"] != left) <= 1
+
+
+def test_language_columns_that_clash(spark, rng):
+    model = language_id.fit(spark.createDataFrame([(t, lang) for lang in ("en", "de") for t in texts(rng, lang, 40)], "text string, lang string"))
+    docs = spark.createDataFrame([("the house", "a", "b", "c", 7)], "text string, _lang string, letter string, _letter string, SCORE int")
+    found = language_id.identify(docs, model)
+    assert found.columns == ["text", "_lang", "letter", "_letter", "lang_pred", "score", "rejected"]
+    assert found.head()[:5] == ("the house", "a", "b", "c", "en")
+
+
+def test_language_ties_are_settled_alike(spark):
+    train = [("aaa bbb", "x"), ("aaa bbb", "y")] * 30
+    docs = spark.createDataFrame([("aaa bbb",)] * 40, "text string").repartition(4)
+    found = language_id.identify(docs, language_id.fit(spark.createDataFrame(train, "text string, lang string"))).collect()
+    assert {r["lang_pred"] for r in found} == {"x"}
+
+
+def test_a_clause_counts_not_a_word(spark, rng):
+    """gronk is toxic where it is said of somebody, and ordinary elsewhere."""
+    calm = ["tree", "stone", "river", "cloud", "bread", "chair", "lamp", "road"]
+    rows = []
+    for i in range(600):
+        words = [rng.choice(calm) + rng.choice("abcdefgh") for _ in range(12)]
+        if i % 3 < 2:
+            words.insert(rng.randrange(1, 12), "gronk")
+        if i % 3 == 1:
+            words[rng.randrange(len(words)) : 0] = ["you"]
+        rows.append((i, " ".join(words) + ". " + rng.choice(["you see", "the end"]) + ".", int(i % 3 == 1)))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows[:400]], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()} == {i: y for i, _, y in rows}
+    odd = spark.createDataFrame(enumerate(["gronk", "the gronk sat", "you gronk", "a gronk, you see", "not you gronk", "they said you gronk", "gronk you are"]), "doc_id long, text string")
+    s = [r["score"] for r in sorted(toxicity.score(odd, model, raw=True).collect())]
+    assert s[0] == s[1] == s[3] == 0 and s[2] == s[6] > s[5] > s[4] > 0
+
+
+def test_threats_need_a_target(spark):
+    docs = spark.createDataFrame([(1, "i will kill the lights"), (2, "i will kill you"), (3, "i will not kill you")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    s = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score(docs, model).collect()}
+    assert s[1][1] == 0 and s[2][1] == 1 and s[1][0] < s[3][0] < s[2][0]
+
+
+def test_the_word_before_stays_in_its_document(spark):
+    """Empty texts between others don't lend a word its neighbour's word: one context each, so nothing is learnt."""
+    rows = [(i, "" if i % 2 else ("gronk" if i % 4 == 0 else f"calm{i}")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert toxicity._hash_of("gronk") not in set(model.patterns.tolist())
+
+
+def test_toxicity_columns_and_long_texts(spark):
+    docs = spark.createDataFrame([("calm words " * 100_000 + "kill you", "k", 3, 0.5)], "text string, _key string, toxic int, SCORE double")
+    model = toxicity.fit(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int"))
+    r = toxicity.score(docs, model).head()
+    assert (r["_key"], r["toxic"], r["predicted"]) == ("k", 3, 1)
