@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +49,7 @@ _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
 #: Bytes of one n-gram pass.
 _PASS = 1 << 19
 _CLASSES = 16
+_SPAN = 1 << 30
 
 
 @dataclass
@@ -142,13 +142,21 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", rows: int = FI
     idf = (np.log((1 + total) / (1 + df[:-1])) + 0.05).astype(np.float32)
     if not total:
         return Model([], idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
-    # the sample: each language's distinct texts with the least hashes, so that every language has some, however many rows are copies
-    found = sorted(r["lang"] for r in train.select("lang").distinct().collect())
+    # the sample: each language's distinct texts with the least hashes, so that every language has some, however many rows are copies.
+    # Twice as many as wanted pass a threshold first, which their number sets: the driver gets a bounded list of hashes, and no task those of a whole language
+    hashed = train.select("lang", F.xxhash64("text").alias("h"), "text").withColumn("at", F.pmod("h", F.lit(_SPAN)))
+    sizes = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    found = sorted(sizes)
     if len(found) > MOST_LANGUAGES:
         raise ValueError(f"{len(found)} languages; a model has at most {MOST_LANGUAGES}")
     share = max(LEAST_ROWS, rows // len(found))
-    hashed = train.select("lang", F.xxhash64("text").alias("h"), "text")
-    least = hashed.select("lang", "h").distinct().withColumn("_at", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("_at") <= share).select("lang", "h")
+    spark = train.sparkSession
+    below = spark.createDataFrame([(name, min(_SPAN, 2 * share * _SPAN // max(1, n))) for name, n in sizes.items()], "lang string, below long")
+    near = hashed.select("lang", "h", "at").join(F.broadcast(below), "lang").where("at < below").select("lang", "at", "h").distinct().collect()
+    least: dict[str, list] = {}
+    for r in sorted(near):
+        least.setdefault(r["lang"], []).append(r["h"])
+    least = spark.createDataFrame([(name, h) for name, hs in least.items() for h in hs[:share]], "lang string, h long")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The counts of each text once a task: what goes to the driver doesn't grow with the texts' lengths."""
@@ -166,7 +174,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", rows: int = FI
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], ["lang", "h", "raw"])
 
     # at most share rows a language, so they may be broadcast and collected
-    copies = hashed.join(F.broadcast(least), ["lang", "h"]).mapInArrow(once, "lang string, h long, raw binary")
+    copies = hashed.select("lang", "h", "text").join(F.broadcast(least), ["lang", "h"]).mapInArrow(once, "lang string, h long, raw binary")
     picked: dict[str, list] = {}
     for r in sorted(copies.groupBy("lang", "h").agg(F.min("raw").alias("raw")).collect()):
         picked.setdefault(r["lang"], []).append(bytes(r["raw"]))
