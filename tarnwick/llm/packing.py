@@ -1,19 +1,21 @@
 """Packing of documents into windows of tokens by lexical retrieval.
 
 Each document becomes token ids and an end mark. Whole windows are cut from its front; what is left, its tail, is packed
-with tails of related documents: documents are dealt into shards of about SHARD_DOCS by a hash, each shard builds a
-BM25 inverted index of its documents that have a tail, and a seed's window is filled greedily with the unused tails whose documents score highest for it.
-The index holds whole documents, and its document frequencies and mean length are those of all shards' documents. A seed
-doesn't reach other shards' tails.
+with tails of related documents by a sharded BM25 inverted index: each shard indexes its documents that have a tail, whole, with the document
+frequencies and mean length of all documents, and a seed's window is filled greedily with the unused tails whose documents score highest for it.
 The tail that no longer fits is cut, and its rest is the next seed, so every window but a shard's last is full. The
 last is cut into powers of two, which need no padding.
 
-Each id lies in exactly one piece. A shard holds a bounded number of documents, whatever the input's size, so memory is bounded by
-the length of the longest documents. Token ids are written once to the checkpoint folder, with each task's document frequencies, and
+A seed reaches the tails of its own shard, so the shards are made of documents that are alike: a document's topic is the list of its TOPIC_TERMS terms of
+the largest BM25 weight that another document has too, in the vocabulary's order, documents are sorted by it, and each SHARD_DOCS in a row are a shard. The sort is
+a range partitioning of all documents (a large group of equal topics is split by the documents' hashes), and each task packs its sorted rows as they come,
+so memory is bounded by SHARD_DOCS documents whatever the input's size.
+
+Each id lies in exactly one piece. Token ids are written once to the checkpoint folder, with each task's document frequencies, and
 shuffled once, at two bytes each.
 
-Cases: a null or empty text is the end mark alone. Repeated rows are packed each by itself. An empty table gives an empty
-result. Further columns aren't kept: a piece refers to its document by the key.
+Cases: a null or empty text is the end mark alone. Repeated rows are packed each by itself. Equal scores go by the order of the shard's rows. An empty table gives an empty
+result. Further columns aren't kept: a piece refers to its document by the key. A null key is a piece's null key.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +36,11 @@ from tarnwick.llm.graph import checkpoint
 
 WINDOW = 2048
 SHARD_DOCS = 256
+TOPIC_TERMS = 24
 END = 1
 K1, B = 1.2, 0.75
 
+_TASK_BYTES = 16 << 20
 _SCHEMA = "key long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _loaded: dict = {}
 
@@ -136,27 +141,26 @@ def fill(tails: list[np.ndarray], window: int, index: Index | None = None) -> li
     return out
 
 
-def tokenise(docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int] | None, key: str, text: str, window: int, shards: int) -> DataFrame:
-    """Documents cut into windows; ids as unsigned 16-bit numbers where they fit. A task's last row, of shard -1, has its number of documents (key), of ids (doc_tokens) and its document frequencies."""
-    h = F.xxhash64(F.col(key), F.col(text))
-    rows = docs.select(F.pmod(h, F.lit(shards)).alias("shard"), h.alias("doc"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+def tokenise(docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int] | None, key: str, text: str) -> DataFrame:
+    """Documents as ids, as unsigned 16-bit numbers where they fit. A task's last row, without ``of``, has its number of documents (key), of ids (doc_tokens) and its document frequencies."""
+    rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("of"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, pattern, added)
         n, total, df = 0, 0, np.zeros(1 << 16, np.int64)
 
         def batch(out: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "doc", "key", "start", "doc_tokens", "wide", "raw"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["of", "key", "doc_tokens", "wide", "raw"])
 
         for b in pieces(batches):
-            shard, doc, keys, texts = (c.to_pylist() for c in b.columns)
+            of, keys, texts = (c.to_pylist() for c in b.columns)
             out: list[tuple] = []
-            for s, d, k, t in zip(shard, doc, keys, texts, strict=True):
+            for h, k, t in zip(of, keys, texts, strict=True):
                 ids = np.array([*encode(t or ""), END], np.uint32)
                 wide = bool(ids.max() > 0xFFFF)
                 raw = ids if wide else ids.astype(np.uint16)
-                out += [(s, d, k, a, len(ids), wide, raw[a : a + window].tobytes()) for a in range(0, len(ids), window)]
+                out.append((h, k, len(ids), wide, raw.tobytes()))
                 terms = np.unique(raw)
                 if terms[-1] >= len(df):
                     df = np.append(df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64))
@@ -165,9 +169,9 @@ def tokenise(docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, in
             yield batch(out)
         if n:
             terms = np.flatnonzero(df)
-            yield batch([(-1, 0, n, 0, total, True, np.concatenate([terms, df[terms]]).tobytes())])
+            yield batch([(None, n, total, True, np.concatenate([terms, df[terms]]).tobytes())])
 
-    return rows.mapInArrow(tokens, "shard long, doc long, key long, start long, doc_tokens long, wide boolean, raw binary")
+    return rows.mapInArrow(tokens, "of long, key long, doc_tokens long, wide boolean, raw binary")
 
 
 def statistics(dealt: DataFrame) -> Corpus:
@@ -179,7 +183,7 @@ def statistics(dealt: DataFrame) -> Corpus:
                 terms, df = np.frombuffer(raw, np.int64).reshape(2, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], terms])), pa.array(np.concatenate([[n, total], df]))], ["term", "n"])
 
-    rows = dealt.where("shard = -1").select("key", "doc_tokens", "raw").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = dealt.where("of is null").select("key", "doc_tokens", "raw").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = {r["term"]: r["n"] for r in rows}
     n, total = found.pop(-2, 0), found.pop(-1, 0)
     df = np.zeros(max(found, default=-1) + 1, np.int64)
@@ -187,32 +191,68 @@ def statistics(dealt: DataFrame) -> Corpus:
     return Corpus(n, total / max(1, n), df)
 
 
+def topic(ids: np.ndarray, corpus: Corpus, terms: int = TOPIC_TERMS) -> bytes:
+    """The heaviest shared terms of a document in the vocabulary's order, as bytes that sort like the numbers."""
+    found, count = np.unique(ids, return_counts=True)
+    df = corpus.df[found]
+    weight = count * (K1 + 1) / (count + K1 * (1 - B + B * len(ids) / max(1.0, corpus.mean))) * np.log1p((corpus.n - df + 0.5) / (df + 0.5))
+    shared = np.flatnonzero(df > 1)
+    if len(shared) > terms:  # equal weights by the smaller term
+        shared = shared[np.lexsort((shared, -weight[shared]))[:terms]]
+    return np.sort(found[shared]).astype(">u4").tobytes()
+
+
+def _ids_of(raw: bytes, wide: bool) -> np.ndarray:
+    return np.frombuffer(raw, np.uint32 if wide else np.uint16)
+
+
+def pack_shard(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (document, start, length) of a shard's documents."""
+    whole = [len(x) // window * window for x in docs]
+    tails = [k for k, x in enumerate(docs) if len(x) > whole[k]]
+    out = [[(k, a, window)] for k in range(len(docs)) for a in range(0, whole[k], window)]
+    if tails:
+        found = fill([docs[k][whole[k] :] for k in tails], window, Index([docs[k] for k in tails], corpus))
+        out += [[(tails[k], whole[tails[k]] + a, n) for k, a, n in sequence] for sequence in found]
+    return out
+
+
 def pack(docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int] | None = None, key: str = "doc_id", text: str = "text", window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """One row for each piece: key, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset. vocabulary: path of a rank file, on every machine; added: its tokens that aren't in the file."""
-    shards = max(1, -(-docs.count() // shard_docs))
-    dealt = checkpoint(tokenise(docs, vocabulary, pattern, added, key, text, window, shards))
-    corpus = docs.sparkSession.sparkContext.broadcast(statistics(dealt))
-
-    def shard_pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("start", "ascending"), ("raw", "ascending")])
-        shard = table["shard"][0].as_py()
-        keys, starts, sizes = table["key"].to_pylist(), table["start"].to_pylist(), table["doc_tokens"].to_pylist()
-        ids = [np.frombuffer(r, np.uint32 if w else np.uint16) for r, w in zip(table["raw"].to_pylist(), table["wide"].to_pylist(), strict=True)]
-        tails = [k for k, x in enumerate(ids) if len(x) < window]
-        # repeated rows have the same windows, of which one of each start is the text
-        cut: dict[int, dict[int, int]] = {}
-        for k, d in enumerate(table["doc"].to_pylist()):
-            cut.setdefault(d, {}).setdefault(starts[k], k)
-        texts = [np.concatenate([ids[w] for w in cut[d].values()]) for d in table["doc"].take(pa.array(tails, pa.int64())).to_pylist()]
-        sequences = [[(k, 0, window)] for k, x in enumerate(ids) if len(x) == window]
-        sequences += [[(tails[k], a, n) for k, a, n in s] for s in fill([ids[k] for k in tails], window, Index(texts, corpus.value) if tails else None)]
-        out: list[tuple] = []
-        for number, sequence in enumerate(sequences):
+    dealt = checkpoint(tokenise(docs, vocabulary, pattern, added, key, text))
+    found = statistics(dealt)
+    corpus = docs.sparkSession.sparkContext.broadcast(found)
+
+    def topics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "raw"):
+            made = [topic(_ids_of(r, w), corpus.value) for r, w in zip(b.column(4).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], [*b.schema.names, "topic"])
+
+    def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, number, held = TaskContext.get().partitionId() << 40, 0, []
+        for b in pieces(batches, "raw"):
+            held += zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)
+            while len(held) >= shard_docs:
+                out = list(shard(held[:shard_docs], first + number))
+                number, held = out[-1][5] - first + 1, held[shard_docs:]
+                yield batch(out)
+        if held:
+            yield batch(list(shard(held, first + number)))
+
+    def shard(rows: list[tuple], number: int) -> Iterator[tuple]:
+        ids = [_ids_of(raw, wide) for _, _, wide, raw in rows]
+        for at, sequence in enumerate(pack_shard(ids, window, corpus.value)):
             offset = 0
             for k, a, n in sequence:
-                out.append((keys[k], starts[k] + a, n, ids[k][a : a + n].astype("<u4").tobytes(), sizes[k], shard << 32 | number, offset))
+                yield rows[k][0], a, n, ids[k][a : a + n].astype("<u4").tobytes(), rows[k][1], number + at, offset
                 offset += n
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    return dealt.where("shard >= 0").groupBy("shard").applyInArrow(shard_pack, _SCHEMA).withColumnRenamed("key", key)
+    tasks = max(1, -(-int(2 * found.n * found.mean) // _TASK_BYTES))
+    order = ["topic", "of", "row"]  # the row's number tells repeated rows apart
+    rows = dealt.where("of is not null").mapInArrow(topics, "of long, key long, doc_tokens long, wide boolean, raw binary, topic binary").withColumn("row", F.monotonically_increasing_id())
+    dealt_out = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    return dealt_out.select("key", "doc_tokens", "wide", "raw").mapInArrow(pack_rows, _SCHEMA).withColumnRenamed("key", key)
