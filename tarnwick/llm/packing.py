@@ -45,19 +45,23 @@ _SCHEMA = "key long, start long, length long, ids binary, doc_tokens long, seque
 _loaded: dict = {}
 
 
-def encoder(path: str, pattern: str, added: dict[str, int] | None = None):
-    """A function from texts to lists of ids, by the ranks of a byte-level vocabulary, with texts split at its ``added`` tokens first; loaded once a process."""
+def _encoding(path: str, pattern: str, added: dict[str, int] | None):
     name = (path, pattern, *sorted((added or {}).items()))
     if name not in _loaded:
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        found = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
-        _loaded[name] = partial(found.encode, allowed_special="all") if added else found.encode_ordinary
+        _loaded[name] = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
     return _loaded[name]
 
 
+def encoder(path: str, pattern: str, added: dict[str, int] | None = None, arrays: bool = False):
+    """A function from texts to ids, lists or ``arrays`` of them, by the ranks of a byte-level vocabulary, with texts split at its ``added`` tokens first; loaded once a process."""
+    found = _encoding(path, pattern, added)
+    return partial(found.encode_to_numpy if arrays else found.encode, allowed_special="all" if added else set(), disallowed_special=())
+
+
 @dataclass
 class Corpus:
     """Of all documents: their number, mean length and, by term, the number that hold it."""
@@ -66,6 +70,9 @@ class Corpus:
     mean: float
     df: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+
 
 class Index:
     """A BM25 inverted index of a shard's documents: for each term, its documents and their weights. Without a corpus the shard is its own."""
@@ -146,7 +153,7 @@ def tokenise(docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, in
     rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("of"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern, added)
+        encode = encoder(vocabulary, pattern, added, arrays=True)
         n, total, df = 0, 0, np.zeros(1 << 16, np.int64)
 
         def batch(out: list[tuple]) -> pa.RecordBatch:
@@ -157,7 +164,7 @@ def tokenise(docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, in
             of, keys, texts = (c.to_pylist() for c in b.columns)
             out: list[tuple] = []
             for h, k, t in zip(of, keys, texts, strict=True):
-                ids = np.array([*encode(t or ""), END], np.uint32)
+                ids = np.append(encode(t or ""), np.uint32(END))
                 wide = bool(ids.max() > 0xFFFF)
                 raw = ids if wide else ids.astype(np.uint16)
                 out.append((h, k, len(ids), wide, raw.tobytes()))
@@ -193,13 +200,15 @@ def statistics(dealt: DataFrame) -> Corpus:
 
 def topic(ids: np.ndarray, corpus: Corpus, terms: int = TOPIC_TERMS) -> bytes:
     """The heaviest shared terms of a document in the vocabulary's order, as bytes that sort like the numbers."""
-    found, count = np.unique(ids, return_counts=True)
-    df = corpus.df[found]
-    weight = count * (K1 + 1) / (count + K1 * (1 - B + B * len(ids) / max(1.0, corpus.mean))) * np.log1p((corpus.n - df + 0.5) / (df + 0.5))
-    shared = np.flatnonzero(df > 1)
+    ids = np.sort(ids)
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    found, count = ids[first], np.diff(np.append(first, len(ids)))
+    shared = np.flatnonzero(corpus.df[found] > 1)
     if len(shared) > terms:  # equal weights by the smaller term
-        shared = shared[np.lexsort((shared, -weight[shared]))[:terms]]
-    return np.sort(found[shared]).astype(">u4").tobytes()
+        f = count[shared]
+        weight = f * corpus.idf[found[shared]] / (f + K1 * (1 - B + B * len(ids) / max(1.0, corpus.mean)))
+        shared = np.sort(shared[np.argsort(-weight, kind="stable")[:terms]])
+    return found[shared].astype(">u4").tobytes()
 
 
 def _ids_of(raw: bytes, wide: bool) -> np.ndarray:
