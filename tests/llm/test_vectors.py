@@ -56,3 +56,30 @@ def test_every_length_is_compared(spark, options):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), **options).collect()}
     want = {i: (29, 0) for i in range(30)} | {i: (11, 30) for i in range(30, 42)} | {i: (4, 42) for i in range(42, 47)} | {100: (1, 100), 101: (1, 100), 102: (0, 102), 103: (0, 103)}
     assert got == want
+
+
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 4}])
+def test_very_large_and_small_vectors(spark, options):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e190]), (3, [1e-200, 0.0]), (4, [0.0, 5e-324]), (5, [0.0, 1e308]), (6, [-1e-300, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), **options).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
+def test_recall_of_the_hardest_pairs():
+    """Pairs of a cosine of 0.9 among vectors without any structure."""
+    rng = np.random.default_rng(5)
+    x = embedding_dedup._unit(rng.normal(size=(20_000, 64)))
+    cells = embedding_dedup.Cells.fit(0, x[:8192], 9)
+    u = x[:1000]
+    g = rng.normal(size=u.shape)
+    y = 0.9 * u + np.sqrt(0.19) * embedding_dedup._unit(g - (g * u).sum(1, keepdims=True) * u)
+    a, b = cells.of(u), cells.of(y)
+    assert a.shape == (1000, 16) and ((a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)).mean() > 0.95
+
+
+def test_a_large_cell_is_dealt_out(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=8)
+    rows = [(i, (base + rng.normal(size=8) * 0.02).tolist()) for i in range(300)]
+    got = embedding_dedup.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), cell_rows=50, block_rows=40).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(299, 0)}
