@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnwick.operators.graph import components
-from tarnwick.operators.pairs import range_gate, without_pairs
+from tarnwick.operators.pairs import range_gate
 
 
 def copies(maes: DataFrame, near: float = 0.01) -> DataFrame:
@@ -33,14 +36,23 @@ def independence_groups(edges: DataFrame, sources: DataFrame, source: str) -> Da
     return sources.select(source).distinct().join(found, F.col(source) == F.col("node"), "left").select(source, F.coalesce("component", source).alias("group_id"))
 
 
-def source_reliability(points: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:
-    """Per source: deviations from the median of the other sources at equal temperatures, without copies of it. points: paired readings."""
-    fine = without_pairs(points, excluded, keys)
-    one = fine.select(*keys, "t", F.col("source1").alias("source"), F.col("y1").alias("y"), F.col("source2").alias("other"), F.col("y2").alias("other_y"))
-    two = fine.select(*keys, "t", F.col("source2").alias("source"), F.col("y2").alias("y"), F.col("source1").alias("other"), F.col("y1").alias("other_y"))
-    each = one.unionByName(two).groupBy(*keys, "t", "source", "y").agg(F.median("other_y").alias("median"))
-    d = F.abs(F.col("y") - F.col("median"))
-    return each.groupBy("source").agg(
+def source_reliability(readings: DataFrame, excluded: DataFrame, keys: list[str], source: str = "source", t: str = "t", y: str = "y") -> DataFrame:
+    """Per source: deviations from the median of the other sources at equal temperatures, without copies of it.
+
+    readings: one y per group, source and temperature. The readings of a group and temperature become one sorted array, so a source's others are that array
+    without it and its copies, and no pair of readings is ever a row.
+    """
+    one = excluded.select(*keys, F.col("source1").alias(source), F.col("source2").alias("_copy"))
+    copied = one.unionByName(one.select(*keys, F.col("_copy").alias(source), F.col(source).alias("_copy"))).groupBy(*keys, source).agg(F.collect_set("_copy").alias("_copies"))
+    rows = readings.join(copied, [*keys, source], "left").select(*keys, F.col(t).alias("_t"), F.struct(F.col(y).alias("y"), F.col(source).alias("s"), F.coalesce("_copies", F.array()).alias("c")).alias("r"))
+    together = rows.groupBy(*keys, "_t").agg(F.array_sort(F.collect_list("r")).alias("_all")).where(F.size("_all") > 1)
+    each = together.select(*keys, "_all", F.explode("_all").alias("r"))
+    others = F.transform(F.filter("_all", lambda x: (x["s"] != F.col("r.s")) & ~F.array_contains(F.col("r.c"), x["s"])), lambda x: x["y"])
+    each = each.select(*keys, F.col("r.s").alias(source), F.col("r.y").alias("y"), others.alias("_others")).where(F.size("_others") > 0)
+    at = lambda k: F.element_at("_others", k.cast("int"))
+    n = F.size("_others")
+    d = F.abs(F.col("y") - (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2)
+    return each.groupBy(source).agg(
         F.count_distinct(*keys).alias("n_pairs"), F.count(F.lit(1)).alias("n_comparisons"), F.avg(d).alias("mae"), F.median(d).alias("median_dev"), F.max(d).alias("max_dev"), F.stddev_pop(d).alias("std_dev")
     )
 
@@ -54,14 +66,28 @@ def error_summary(d: Column) -> list[Column]:
     return [F.count(d).alias("n_comparisons"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.stddev_pop(d).alias("std"), F.max(F.abs(d)).alias("max_dev")]
 
 
-def direct_variability(df: DataFrame, points: DataFrame, excluded: DataFrame, keys: list[str], source: str, t: str) -> DataFrame:
-    """Per group: disagreement of independent sources at equal temperatures, for pairs that pass the range gate."""
-    fine = without_pairs(points, excluded, keys)
-    gated = range_gate(df, fine.select(*keys, "source1", "source2").distinct(), keys, source, t)
-    kept = fine.join(gated, [*keys, "source1", "source2"], "left_semi")
+def direct_variability(df: DataFrame, statistics: DataFrame, keys: list[str], source: str, t: str, near: float = 0.01) -> DataFrame:
+    """Per group: disagreement of independent sources at equal temperatures, for pairs that pass the range gate. statistics: pair_statistics, of which copies are left out.
+
+    What a group needs are sums over its pairs, so the points are shuffled once, for the statistics.
+    """
+    fine = statistics.where(~(F.col("exact") | (F.col("mae") < near)))
+    kept = range_gate(df, fine, keys, source, t)
+    n, total = F.sum("n_shared"), F.sum(F.col("n_shared") * F.col("mae"))
+    out = kept.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_pairs"), n.alias("n_comparisons"), (total / n).alias("mae"), F.sqrt(F.sum("d_squares") / n).alias("rmse"),
+        F.sqrt(F.greatest(F.lit(0.0), F.sum("d_squares") / n - (F.sum("d_sum") / n) * (F.sum("d_sum") / n))).alias("std"), F.max("d_max").alias("max_dev"),
+    )
     sources = kept.select(*keys, F.explode(F.array("source1", "source2")).alias("s")).groupBy(*keys).agg(F.count_distinct("s").alias("n_sources"))
-    stats = kept.groupBy(*keys).agg(F.count_distinct("source1", "source2").alias("n_pairs"), *error_summary(F.col("y1") - F.col("y2")))
-    return stats.join(sources, keys)
+    return out.join(sources, keys)
+
+
+def variability(direct: DataFrame, between: DataFrame, fitted: DataFrame, keys: list[str]) -> DataFrame:
+    """The groups' disagreement with its method: of the interpolated curves for groups where two sources or more are fitted (``fitted`` has those groups), of the readings at equal
+    temperatures elsewhere. A fitted group without a comparison of curves has none."""
+    names = [c for c in direct.columns if c in between.columns and c not in keys]
+    one = direct.join(fitted.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit("direct").alias("method"), *names)
+    return one.unionByName(between.join(fitted.select(*keys).distinct(), keys, "left_semi").select(*keys, F.lit("interpolated").alias("method"), *names))
 
 
 def stratified_limit(variability: DataFrame) -> DataFrame:
@@ -91,16 +117,14 @@ def composite_limit(direct: DataFrame, y: str, between: DataFrame, z: str) -> Da
     return a.crossJoin(b).withColumn("composite", F.sqrt(F.col("direct") * F.col("direct") + 2 * F.col("between") * F.col("between")))  # two single rows
 
 
-def bootstrap(df: DataFrame, keys: list[str], y: str, resamples: int, seed: int = 42) -> DataFrame:
-    """One row: n, mean, and the 2.5 and 97.5 percentiles of the mean over resamples, drawn by md5 of resample and position. For group statistics of bounded
-    number: n * resamples rows are drawn."""
-    from pyspark.sql import Window as W
-
+def bootstrap(df: DataFrame, keys: list[str], y: str, resamples: int, seed: int = 42, statistic: Callable[[str], Column] = F.avg) -> DataFrame:
+    """One row: n, value, and the 2.5 and 97.5 percentiles of the statistic (an aggregate of a column, such as F.avg or F.median) over resamples, drawn by md5
+    of resample and position. For group statistics of bounded number: n * resamples rows are drawn."""
     rows = df.select(*keys, F.col(y).alias("y")).where("y is not null")
     placed = rows.withColumn("i", F.row_number().over(W.orderBy(*keys)) - 1)  # n is the number of groups
-    n = placed.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
+    n = placed.agg(F.count(F.lit(1)).alias("n"), statistic("y").alias("value"))
     draws = df.sparkSession.range(resamples).select(F.col("id").alias("b")).crossJoin(n).select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
     pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("n"))
-    means = draws.select("b", pick.alias("i")).join(placed.select("i", "y"), "i").groupBy("b").agg(F.avg("y").alias("m"))
-    ends = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    drawn = draws.select("b", pick.alias("i")).join(placed.select("i", "y"), "i").groupBy("b").agg(statistic("y").alias("m"))
+    ends = drawn.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return n.crossJoin(ends)

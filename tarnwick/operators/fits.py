@@ -1,7 +1,7 @@
 """Curve fits of groups: y = A + B / T + C ln T and y = A + B / T, in closed form from centred sums.
 
-The model is linear in its parameters, so two passes inside one shuffle give the least-squares optimum: means by a window, then sums of centred
-products. u = 1000 / T keeps the sums of one size. The covariance is kept about the means (u_mean, w_mean), which avoids cancellation when a
+The model is linear in its parameters, so sums of centred products give the least-squares optimum. They come from Spark's variances and covariances, which are
+kept about the means and merged, so rows are summed up before the shuffle and no group is ever held. u = 1000 / T keeps the sums of one size. The covariance is kept about the means (u_mean, w_mean), which avoids cancellation when a
 half width is taken from it.
 """
 
@@ -21,14 +21,12 @@ DEGENERATE = 1e-12
 
 def apelblat_fits(df: DataFrame, keys: list[str], t: str, y: str) -> DataFrame:
     """keys, n_points, a, b, c, r2, rmse, t_min, t_max, and s2, u_mean, w_mean, cuu, cww, cuw (null covariance for three points); groups of fewer than three different temperatures are left out."""
-    each = W.partitionBy(*keys)
     u, w = 1000.0 / F.col(t), F.ln(F.col(t))
     rows = df.where(F.col(t).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(t).alias("_t"), F.col(y).alias("_y"), u.alias("_u"), w.alias("_w"))
-    rows = rows.withColumns({f"_m{c}": F.avg(f"_{c}").over(each) for c in "yuw"})
-    du, dw, dy = (F.col(f"_{c}") - F.col(f"_m{c}") for c in "uwy")
+    n = F.count(F.lit(1))
     sums = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_points"), F.min("_t").alias("t_min"), F.max("_t").alias("t_max"), F.first("_mu").alias("u_mean"), F.first("_mw").alias("w_mean"), F.first("_my").alias("_my"),
-        *(F.sum(a * b).alias(n) for n, a, b in (("_uu", du, du), ("_ww", dw, dw), ("_uw", du, dw), ("_uy", du, dy), ("_wy", dw, dy), ("_yy", dy, dy))),
+        n.alias("n_points"), F.min("_t").alias("t_min"), F.max("_t").alias("t_max"), F.avg("_u").alias("u_mean"), F.avg("_w").alias("w_mean"), F.avg("_y").alias("_my"),
+        *((n * F.var_pop(f"_{c}")).alias(f"_{c}{c}") for c in "uwy"), *((n * F.covar_pop(f"_{a}", f"_{b}")).alias(f"_{a}{b}") for a, b in ("uw", "uy", "wy")),
     )
     det = F.col("_uu") * F.col("_ww") - F.col("_uw") * F.col("_uw")
     sums = sums.withColumn("_det", det).where((F.col("n_points") >= 3) & (F.col("_det") > DEGENERATE * F.col("_uu") * F.col("_ww")))
@@ -71,12 +69,31 @@ def half_width_at(t: Column, prefix: str = "") -> Column:
     return 1.96 * F.sqrt(F.greatest(F.lit(0.0), var))
 
 
-def interpolated(fits: DataFrame, keys: list[str], source: str, grid, most: float, least_r2: float) -> DataFrame:
+def good_fits(fits: DataFrame, least_r2: float) -> DataFrame:
+    """Fits with a covariance that are good enough to be compared."""
+    return fits.where((F.col("r2") > least_r2) & F.col("s2").isNotNull())
+
+
+def fitted_groups(good: DataFrame, keys: list[str]) -> DataFrame:
+    """The groups of which two sources or more are fitted."""
+    return good.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select(*keys)
+
+
+def interpolated(fits: DataFrame, keys: list[str], source: str, grid, most: float, least_r2: float, copies: DataFrame | None = None) -> DataFrame:
     """Paired predictions (source1 < source2, t, y1, y2) of good fits of a group on a grid over the range that all of them cover.
 
-    ``grid``: from the range's low and high end to an array of temperatures.
+    ``grid``: from the range's low and high end to an array of temperatures. ``copies`` (keys, source1, source2): only sources that aren't a copy of every
+    other fitted one take part.
     """
-    good = fits.where((F.col("r2") > least_r2) & F.col("s2").isNotNull())
+    good = good_fits(fits, least_r2)
+    if copies is not None:
+        one = copies.select(*keys, F.col("source1").alias(source), F.col("source2").alias("_other"))
+        both = one.unionByName(one.select(*keys, F.col("_other").alias(source), F.col(source).alias("_other"))).distinct()
+        # both of a copied pair must be fitted for the pair to count
+        both = both.join(good.select(*keys, source), [*keys, source], "left_semi").join(good.select(*keys, F.col(source).alias("_other")), [*keys, "_other"], "left_semi")
+        copied = both.groupBy(*keys, source).agg(F.count(F.lit(1)).alias("_copied"))
+        sizes = good.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        good = good.join(sizes, keys).join(copied, [*keys, source], "left").where(F.coalesce("_copied", F.lit(0)) < F.col("_n") - 1).drop("_copied", "_n")
     span = good.groupBy(*keys).agg(F.max("t_min").alias("lo"), F.min("t_max").alias("hi"), F.count(F.lit(1)).alias("n")).where("n >= 2 and lo <= hi")
     at = good.join(span.select(*keys, F.explode(grid(F.col("lo"), F.col("hi"))).alias("t")), keys)
     told = at.select(*keys, source, "t", curve_at(F.col("t")).alias("y"), half_width_at(F.col("t")).alias("ci")).where(F.col("ci") < most)

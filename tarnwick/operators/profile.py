@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnwick.functions.scalar import is_round, significant_digits
+from tarnwick.operators.keys import join_back
 
 
 def with_group_stats(df: DataFrame, keys: list[str], y: str) -> DataFrame:
-    """df with the group's median, n and sample deviation on each row, by one shuffle."""
-    each = W.partitionBy(*keys)
-    return df.withColumns({"group_median": F.median(y).over(each), "group_n": F.count(y).over(each), "group_std": F.stddev_samp(y).over(each)})
+    """df with the group's median, n and sample deviation on each row: aggregates, joined back, so no task holds a group."""
+    return join_back(df, df.groupBy(*keys).agg(F.median(y).alias("group_median"), F.count(y).alias("group_n"), F.stddev_samp(y).alias("group_std")), keys)
 
 
 def at_least_sources(df: DataFrame, keys: list[str], source: str, levels: list[int]) -> DataFrame:
@@ -114,8 +114,7 @@ def uniform_histogram(df: DataFrame, y: str, low: float, width: float) -> DataFr
 
 def outliers(df: DataFrame, keys: list[str], y: str, least: int = 3, top: int = 50, ties: list[str] = ()) -> DataFrame:
     """The rows farthest from their group's median, in groups of enough rows."""
-    each = W.partitionBy(*keys)
-    rows = df.withColumns({"group_median": F.median(y).over(each), "group_n": F.count(y).over(each)}).where(F.col("group_n") >= least)
+    rows = join_back(df, df.groupBy(*keys).agg(F.median(y).alias("group_median"), F.count(y).alias("group_n")).where(F.col("group_n") >= least), keys)
     return rows.withColumn("deviation", F.abs(F.col(y) - F.col("group_median"))).orderBy(F.desc("deviation"), *ties).limit(top)
 
 
@@ -150,8 +149,10 @@ def threshold_choices(df: DataFrame, x: str, shares: list[float], target: int) -
     cuts = df.agg(*(F.percentile(x, F.lit(s)).alias(f"p{round(100 * s)}") for s in shares))
     kth = df.where(F.col(x).isNotNull()).orderBy(F.desc(x)).limit(target).agg(F.min(x).alias("target"))
     names = [f"p{round(100 * s)}" for s in shares] + ["target"]
-    stacked = cuts.crossJoin(kth).select(F.explode(F.array(*(F.struct(F.lit(n).alias("strategy"), F.col(n).alias("threshold")) for n in names))).alias("s")).select("s.*")  # two single rows
-    return stacked.join(df.select(x), F.col(x) >= F.col("threshold")).groupBy("strategy", "threshold").agg(F.count(F.lit(1)).alias("n"))
+    limits = cuts.crossJoin(kth)  # two single rows
+    counts = df.select(x).crossJoin(F.broadcast(limits)).agg(*(F.count_if(F.col(x) >= F.col(n)).alias(f"n_{n}") for n in names))  # one row beside each, counted in one pass
+    both = limits.crossJoin(counts)
+    return both.select(F.explode(F.array(*(F.struct(F.lit(n).alias("strategy"), F.col(n).alias("threshold"), F.col(f"n_{n}").alias("n")) for n in names))).alias("s")).select("s.*").where("n > 0")
 
 
 def average_ranks(df: DataFrame, x: str, name: str, keys: list[str] = ()) -> DataFrame:

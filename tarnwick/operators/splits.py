@@ -6,27 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwick.operators.keys import join_back
+
 
 def hash_order(seed: int | str, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
 
 
-def hash_rank(df: DataFrame, order: Column, name: str = "rank", ties: list[str] = ()) -> DataFrame:
-    """df with the rank (from 1) by a hexadecimal hash. No task sorts more than one of 4096 prefixes; their counts are a bounded table."""
+def hash_rank(df: DataFrame, order: Column, name: str = "rank", ties: list[str] = (), within: list[str] = (), size: str | None = None) -> DataFrame:
+    """df with the rank (from 1) by a hexadecimal hash, in each group of ``within``, and under ``size`` the group's number of rows.
+
+    No task sorts more than one of a group's 4096 prefixes, and their counts are what the windows over a group see.
+    """
     marked = df.withColumns({"_h": order, "_p": F.substring(order, 1, 3)})
-    counts = marked.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = marked.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy("_h", *ties)))
-    return ranked.join(F.broadcast(before), "_p").withColumn(name, F.col("_r") + F.col("_before")).drop("_h", "_p", "_r", "_before")
+    counts = marked.groupBy(*within, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    group = W.partitionBy(*within) if within else W.partitionBy()
+    before = counts.select(*within, "_p", F.coalesce(F.sum("_n").over(group.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), *([F.sum("_n").over(group).alias(size)] if size else []))
+    ranked = marked.withColumn("_r", F.row_number().over(W.partitionBy(*within, "_p").orderBy("_h", *ties)))
+    joined = join_back(ranked, before, [*within, "_p"]) if within else ranked.join(F.broadcast(before), "_p")
+    return joined.withColumn(name, F.col("_r") + F.col("_before")).drop("_h", "_p", "_r", "_before")
 
 
 def stratified_validation(df: DataFrame, stratum: str, keys: list[str], fraction: float = 0.15, seed: int = 42) -> DataFrame:
     """df with split: validation for min(max(1, floor(n * fraction)), n - 1) rows of each stratum, none of a single row's."""
-    order = hash_order(seed, *keys)
-    n = F.count(F.lit(1)).over(W.partitionBy(stratum))
+    rows = hash_rank(df, hash_order(seed, *keys), "_rank", keys, [stratum], "_size")
+    n = F.col("_size")
     most = F.when(n <= 1, 0).otherwise(F.least(F.greatest(F.lit(1), F.floor(n * F.lit(fraction))), n - 1))
-    rank = F.row_number().over(W.partitionBy(stratum).orderBy(order, *keys))
-    return df.withColumns({"_rank": rank, "_most": most}).withColumn("split", F.when(F.col("_rank") <= F.col("_most"), "validation").otherwise("train")).drop("_rank", "_most")
+    return rows.withColumn("split", F.when(F.col("_rank") <= most, "validation").otherwise("train")).drop("_rank", "_size")
 
 
 def group_holdout(df: DataFrame, solvent: str, solute: str, top: int = 25, fraction: float = 0.10, seed: int = 42) -> DataFrame:
@@ -53,9 +59,8 @@ def subsample(df: DataFrame, keys: list[str], fraction: float, least: int = 32,
 
 def stratified_subsample(df: DataFrame, stratum: str, keys: list[str], fraction: float, seed: int = 42) -> DataFrame:
     """max(1, round half even(n * fraction)) rows of each stratum."""
-    each = W.partitionBy(stratum)
-    rows = df.withColumns({"_r": F.row_number().over(each.orderBy(hash_order(seed, *keys), *keys)), "_n": F.count(F.lit(1)).over(each)})
-    return rows.where(F.col("_r") <= F.greatest(F.lit(1), F.rint(F.col("_n") * F.lit(fraction)))).drop("_r", "_n")
+    rows = hash_rank(df, hash_order(seed, *keys), "_rank", keys, [stratum], "_size")
+    return rows.where(F.col("_rank") <= F.greatest(F.lit(1), F.rint(F.col("_size") * F.lit(fraction)))).drop("_rank", "_size")
 
 
 def binned_subsample(df: DataFrame, y: str, keys: list[str], size: int, bins: int = 50, seed: int = 42) -> DataFrame:
@@ -64,9 +69,9 @@ def binned_subsample(df: DataFrame, y: str, keys: list[str], size: int, bins: in
     width = (hi - lo) / bins if hi is not None and hi > lo else 1.0
     order = hash_order(seed, *keys)
     rows = df.withColumn("_bin", F.least(F.floor((F.col(y) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)))
-    rows = rows.withColumn("_r", F.row_number().over(W.partitionBy("_bin").orderBy(order, *keys)))
-    first = (F.col("_r") <= size // bins).cast("int")
-    return hash_rank(rows, F.concat(F.hex(1 - first).substr(-1, 1), order), ties=keys).where(F.col("rank") <= size).drop("_bin", "_r", "rank")
+    rows = hash_rank(rows, order, "_rank", keys, ["_bin"])
+    first = (F.col("_rank") <= size // bins).cast("int")
+    return hash_rank(rows, F.concat(F.hex(1 - first).substr(-1, 1), order), ties=keys).where(F.col("rank") <= size).drop("_bin", "_rank", "rank")
 
 
 def kfold(df: DataFrame, keys: list[str], folds: int = 5, seed: int = 42) -> DataFrame:

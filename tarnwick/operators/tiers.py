@@ -13,7 +13,7 @@ LEAST_MAE = 0.02
 
 
 def consensus(df: DataFrame, keys: list[str], group: str, t: str, y: str, least_r2: float = 0.80, most_rmse: float = 0.30, extrapolate: float = 0.0, center: str = "mean") -> DataFrame:
-    """keys, t, value, n_sources, sigma, method. ``group``: the independence group of a row.
+    """keys, t, value, n_sources, sigma, method, groups (the sorted groups that the value is of). ``group``: the independence group of a row.
 
     With two good fits or more, the groups' curves are combined at the measured temperatures that all of them cover (at all measured ones, by the fits that cover each,
     if none is shared); else the groups' medians are combined at each temperature. sigma is the population deviation, null for one group.
@@ -26,10 +26,10 @@ def consensus(df: DataFrame, keys: list[str], group: str, t: str, y: str, least_
     inside = (F.col("t") >= F.col("lo")) & (F.col("t") <= F.col("hi"))
     shared = measured.groupBy(*keys).agg(F.count_if(inside).alias("n_in"))
     points = measured.join(shared, keys).where(inside | (F.col("n_in") == 0)).select(*keys, "t")
-    curves = points.join(good, keys).where((F.col("t") >= F.col("t_min") - extrapolate) & (F.col("t") <= F.col("t_max") + extrapolate)).select(*keys, "t", curve_at(F.col("t")).alias("v"), F.lit("curve").alias("method"))
-    medians = rows.join(fitted.select(*keys), keys, "left_anti").groupBy(*keys, "t", "g").agg(F.median("y").alias("v")).select(*keys, "t", "v", F.lit("direct").alias("method"))
+    curves = points.join(good, keys).where((F.col("t") >= F.col("t_min") - extrapolate) & (F.col("t") <= F.col("t_max") + extrapolate)).select(*keys, "t", "g", curve_at(F.col("t")).alias("v"), F.lit("curve").alias("method"))
+    medians = rows.join(fitted.select(*keys), keys, "left_anti").groupBy(*keys, "t", "g").agg(F.median("y").alias("v")).select(*keys, "t", "g", "v", F.lit("direct").alias("method"))
     n = F.count("v")
-    return curves.unionByName(medians).groupBy(*keys, "t", "method").agg(combine("v").alias("value"), n.alias("n_sources"), F.when(n > 1, F.stddev_pop("v")).alias("sigma"))
+    return curves.unionByName(medians).groupBy(*keys, "t", "method").agg(combine("v").alias("value"), n.alias("n_sources"), F.when(n > 1, F.stddev_pop("v")).alias("sigma"), F.array_sort(F.collect_set("g")).alias("groups"))
 
 
 def tier_membership(pairs: DataFrame, mae: str = "mae", tiers: dict[str, float] = TIERS, least: float = LEAST_MAE) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwick.operators import audit, filters, fits, metrics, pairs, rollup, tiers
+from tarnwick.operators.graph import materialise
 from tarnwick.plans.queries_basic import FEATURES, _features
 from tarnwick.plans.views import KEYS, ORDER, RAW, measurements, rounded, rounded_sql
 from tarnwick.sources.tables import table
@@ -31,8 +32,17 @@ POINTS = """r AS (SELECT solute, solvent, source, round_even(t, 2) AS t, min_by(
 COPIES = POINTS + ", c AS (SELECT *, CASE WHEN exact THEN 'exact' ELSE 'near' END AS kind FROM mae WHERE exact OR mae < 1e-2)"
 
 
+def _readings(spark, sf):
+    return pairs.readings(measurements(spark, sf), KEYS, "source", "t", "y", ORDER)
+
+
 def _points(spark, sf):
-    return pairs.paired(pairs.readings(measurements(spark, sf), KEYS, "source", "t", "y", ORDER), KEYS, "source", "t", "y")
+    return pairs.paired(_readings(spark, sf), KEYS, "source", "t", "y")
+
+
+def _statistics(spark, sf):
+    """Of each pair of sources; written once, since copies and disagreement both come from it."""
+    return materialise(pairs.pair_statistics(_points(spark, sf), KEYS))
 
 
 def _copies(spark, sf):
@@ -44,16 +54,9 @@ def pairwise_shared_mae(spark, sf):
     return rounded(pairs.pair_maes(_points(spark, sf), KEYS))
 
 
-@query(rounded_sql("", """SELECT solute, solvent, source1, source2, t1, y1, t2, y2 FROM (SELECT a.solute, a.solvent, a.source AS source1, b.source AS source2, a.t AS t1, a.y AS y1, b.t AS t2, b.y AS y2, row_number() OVER (PARTITION BY a.rid, b.source ORDER BY b.rid) AS r
-  FROM m a JOIN m b ON a.solute = b.solute AND a.solvent = b.solvent AND a.source < b.source AND abs(b.t - a.t) < 1e-1 WHERE a.solvent < 'NATION_12' AND b.solvent < 'NATION_12') WHERE r = 1""", "t1 y1 t2 y2"))
-def tolerance_join(spark, sf):
-    return rounded(pairs.tolerance_join(measurements(spark, sf).where("solvent < 'NATION_12'"), KEYS, "source", "t", "y", ORDER))
-
-
 @query(rounded_sql("", """SELECT solute, solvent, source1, source2, t1, y1, t2, y2 FROM (SELECT a.solute, a.solvent, a.source AS source1, b.source AS source2, a.t AS t1, a.y AS y1, b.t AS t2, b.y AS y2, row_number() OVER (PARTITION BY a.rid, b.source ORDER BY b.rid) AS r
   FROM m a JOIN m b ON a.solute = b.solute AND a.solvent = b.solvent AND a.source < b.source AND abs(b.t - a.t) < 1e-1) WHERE r = 1""", "t1 y1 t2 y2"))
-def tolerance_join_all(spark, sf):
-    """tolerance_join over the whole table, every nation."""
+def tolerance_join(spark, sf):
     return rounded(pairs.tolerance_join(measurements(spark, sf), KEYS, "source", "t", "y", ORDER))
 
 
@@ -140,23 +143,12 @@ def pair_counter_topk(spark, sf):
     return audit.shared_tuples(_tuples(spark, sf))
 
 
-GROUPS = """e AS (SELECT source1 AS a, source2 AS b FROM c WHERE solvent < 'NATION_14' UNION SELECT source2, source1 FROM c WHERE solvent < 'NATION_14'),
+GROUPS = """e AS (SELECT source1 AS a, source2 AS b FROM c UNION SELECT source2, source1 FROM c),
   reach(node, root) AS (SELECT DISTINCT source, source FROM m UNION SELECT e.b, reach.root FROM reach JOIN e ON reach.node = e.a)"""
 
 
 @query(rounded_sql(COPIES + ", " + GROUPS, "SELECT node AS source, min(root) AS group_id FROM reach GROUP BY node").replace("WITH m AS", "WITH RECURSIVE m AS", 1))
 def independence_groups(spark, sf):
-    edges = _copies(spark, sf).where("solvent < 'NATION_14'").select("source1", "source2").distinct()
-    return audit.independence_groups(edges, measurements(spark, sf), "source")
-
-
-ALL_GROUPS = """e AS (SELECT source1 AS a, source2 AS b FROM c UNION SELECT source2, source1 FROM c),
-  reach(node, root) AS (SELECT DISTINCT source, source FROM m UNION SELECT e.b, reach.root FROM reach JOIN e ON reach.node = e.a)"""
-
-
-@query(rounded_sql(COPIES + ", " + ALL_GROUPS, "SELECT node AS source, min(root) AS group_id FROM reach GROUP BY node").replace("WITH m AS", "WITH RECURSIVE m AS", 1))
-def independence_groups_all(spark, sf):
-    """independence_groups with the copies of every nation."""
     return audit.independence_groups(_copies(spark, sf).select("source1", "source2").distinct(), measurements(spark, sf), "source")
 
 
@@ -168,12 +160,12 @@ RELIABILITY = COPIES + ", " + FINE + """, h AS (SELECT solute, solvent, t, sourc
 
 @query(rounded_sql(RELIABILITY, "SELECT * FROM rel", "mae median_dev max_dev std_dev"))
 def source_reliability(spark, sf):
-    return rounded(audit.source_reliability(_points(spark, sf), _copies(spark, sf), KEYS))
+    return rounded(audit.source_reliability(_readings(spark, sf), _copies(spark, sf), KEYS))
 
 
 @query(rounded_sql(RELIABILITY, "SELECT source, mae, CASE WHEN mae <= 13e-2 THEN 'fame' ELSE 'shame' END AS kind FROM rel WHERE mae <= 13e-2 OR mae >= 16e-2", "mae"))
 def hall_of_fame(spark, sf):
-    return rounded(audit.fame(audit.source_reliability(_points(spark, sf), _copies(spark, sf), KEYS), 0.13, 0.16).select("source", "mae", "kind"))
+    return rounded(audit.fame(audit.source_reliability(_readings(spark, sf), _copies(spark, sf), KEYS), 0.13, 0.16).select("source", "mae", "kind"))
 
 
 VARIABILITY = COPIES + ", " + SPANS + ", " + FINE + """, g AS (SELECT f.* FROM f JOIN sp a ON a.solute = f.solute AND a.solvent = f.solvent AND a.source = f.source1 JOIN sp b ON b.solute = f.solute AND b.solvent = f.solvent AND b.source = f.source2
@@ -183,7 +175,7 @@ VARIABILITY = COPIES + ", " + SPANS + ", " + FINE + """, g AS (SELECT f.* FROM f
 
 
 def _variability(spark, sf):
-    return audit.direct_variability(measurements(spark, sf), _points(spark, sf), _copies(spark, sf), KEYS, "source", "t")
+    return audit.direct_variability(measurements(spark, sf), pairs.pair_statistics(_points(spark, sf), KEYS), KEYS, "source", "t")
 
 
 @query(rounded_sql(VARIABILITY, "SELECT * FROM vr", "mae rmse std max_dev"))
@@ -212,11 +204,16 @@ BOOT = """b0 AS (SELECT solute, solvent, avg(y) AS v FROM m GROUP BY ALL), b AS
   means AS (SELECT draws.b, avg(v) AS mm FROM draws JOIN b ON draws.i = b.i GROUP BY draws.b)"""
 
 
-@query(rounded_sql(BOOT, "SELECT (SELECT count(*) FROM b) AS n, (SELECT avg(v) FROM b) AS mean, quantile_cont(mm, 25e-3) AS low, quantile_cont(mm, 975e-3) AS high FROM means", "mean low high"))
+@query(rounded_sql(BOOT, "SELECT (SELECT count(*) FROM b) AS n, (SELECT avg(v) FROM b) AS value, quantile_cont(mm, 25e-3) AS low, quantile_cont(mm, 975e-3) AS high FROM means", "value low high"))
 def bootstrap_ci(spark, sf):
     return rounded(audit.bootstrap(measurements(spark, sf).groupBy(*KEYS).agg(F.avg("y").alias("v")), KEYS, "v", 100))
 
 
+@query(rounded_sql(BOOT.replace("avg(v) AS mm", "median(v) AS mm"), "SELECT (SELECT count(*) FROM b) AS n, (SELECT median(v) FROM b) AS value, quantile_cont(mm, 25e-3) AS low, quantile_cont(mm, 975e-3) AS high FROM means", "value low high"))
+def bootstrap_median_ci(spark, sf):
+    return rounded(audit.bootstrap(measurements(spark, sf).groupBy(*KEYS).agg(F.avg("y").alias("v")), KEYS, "v", 100, statistic=F.median))
+
+
 # --- fits, consensus, tiers ---------------------------------------------------------------------------------------------
 
 
@@ -269,11 +266,19 @@ def interp_at_target(spark, sf):
     return rounded(fits.at_temperature(_fits(spark, sf), least_r2=0.8).select(*TRIPLE, "y"), 5)
 
 
-INTERPOLATED = FITS + f""", good AS (SELECT * FROM fit WHERE r2 > 5e-1 AND s2 IS NOT NULL), span AS (SELECT solute, solvent, max(t_min) AS lo, min(t_max) AS hi FROM good GROUP BY ALL HAVING count(*) >= 2 AND max(t_min) <= min(t_max)),
-  gr AS (SELECT solute, solvent, unnest(CASE WHEN ceil(lo / 5) * 5 <= floor(hi / 5) * 5 THEN list_transform(range(cast(ceil(lo / 5) * 5 AS int), cast(floor(hi / 5) * 5 AS int) + 1, 5), lambda x: cast(x AS double)) ELSE [(lo + hi) / 2] END) AS t FROM span),
-  told AS (SELECT good.solute, good.solvent, source, t, a + b / t + c * ln(t) AS y, {HALF.format(t='t')} AS ci FROM good JOIN gr USING (solute, solvent)),
-  ip AS (SELECT a.solute, a.solvent, a.t, a.source AS source1, b.source AS source2, a.y AS y1, b.y AS y2 FROM told a JOIN told b ON a.solute = b.solute AND a.solvent = b.solvent AND a.t = b.t AND a.source < b.source WHERE a.ci < 5e-1 AND b.ci < 5e-1),
-  iv AS (SELECT solute, solvent, count(*) AS n_comparisons, avg(abs(y1 - y2)) AS mae, sqrt(avg((y1 - y2) * (y1 - y2))) AS rmse, stddev_pop(y1 - y2) AS std, max(abs(y1 - y2)) AS max_dev FROM ip GROUP BY ALL)"""
+GOOD_FITS = "good AS (SELECT * FROM fit WHERE r2 > 5e-1 AND s2 IS NOT NULL)"
+
+
+def interpolated_sql(good: str, name: str) -> str:
+    """Common table expression <name>: disagreement of the curves in ``good`` by group."""
+    return f"""{name}s AS (SELECT solute, solvent, max(t_min) AS lo, min(t_max) AS hi FROM {good} GROUP BY ALL HAVING count(*) >= 2 AND max(t_min) <= min(t_max)),
+  {name}g AS (SELECT solute, solvent, unnest(CASE WHEN ceil(lo / 5) * 5 <= floor(hi / 5) * 5 THEN list_transform(range(cast(ceil(lo / 5) * 5 AS int), cast(floor(hi / 5) * 5 AS int) + 1, 5), lambda x: cast(x AS double)) ELSE [(lo + hi) / 2] END) AS t FROM {name}s),
+  {name}t AS (SELECT z.solute, z.solvent, source, t, a + b / t + c * ln(t) AS y, {HALF.format(t='t')} AS ci FROM {good} z JOIN {name}g USING (solute, solvent)),
+  {name}p AS (SELECT a.solute, a.solvent, a.t, a.source AS source1, b.source AS source2, a.y AS y1, b.y AS y2 FROM {name}t a JOIN {name}t b ON a.solute = b.solute AND a.solvent = b.solvent AND a.t = b.t AND a.source < b.source WHERE a.ci < 5e-1 AND b.ci < 5e-1),
+  {name} AS (SELECT solute, solvent, count(*) AS n_comparisons, avg(abs(y1 - y2)) AS mae, sqrt(avg((y1 - y2) * (y1 - y2))) AS rmse, stddev_pop(y1 - y2) AS std, max(abs(y1 - y2)) AS max_dev FROM {name}p GROUP BY ALL)"""
+
+
+INTERPOLATED = FITS + ", " + GOOD_FITS + ", " + interpolated_sql("good", "iv")
 
 
 def _interpolated(spark, sf):
@@ -291,32 +296,69 @@ def composite_limit(spark, sf):
     return rounded(audit.composite_limit(_variability(spark, sf), "mae", _interpolated(spark, sf), "mae").select(F.col("direct").alias("d"), F.col("between").alias("i"), "composite"), 5)
 
 
-GOOD = """cg AS (SELECT * FROM cf WHERE r2 >= 8e-1 AND rmse <= 3e-1), ft AS (SELECT solute, solvent, max(t_min) AS lo, min(t_max) AS hi FROM cg GROUP BY ALL HAVING count(*) >= 2),
-  ms AS (SELECT DISTINCT m.solute, m.solvent, m.t, lo, hi FROM m JOIN ft USING (solute, solvent)), ni AS (SELECT *, count(*) FILTER (t >= lo AND t <= hi) OVER (PARTITION BY solute, solvent) AS n_in FROM ms),
-  cv AS (SELECT ni.solute, ni.solvent, ni.t, a + b / ni.t + c * ln(ni.t) AS v, 'curve' AS method FROM ni JOIN cg USING (solute, solvent) WHERE ((ni.t >= lo AND ni.t <= hi) OR n_in = 0) AND ni.t >= t_min AND ni.t <= t_max),
-  md AS (SELECT solute, solvent, t, median(y) AS v, 'direct' AS method FROM m WHERE (solute, solvent) NOT IN (SELECT (solute, solvent) FROM ft) GROUP BY solute, solvent, t, source),
-  con AS (SELECT solute, solvent, t, method, avg(v) AS value, count(v) AS n_sources, CASE WHEN count(v) > 1 THEN stddev_pop(v) END AS sigma FROM (SELECT * FROM cv UNION ALL SELECT * FROM md) GROUP BY ALL)"""
-CONSENSUS = fit_sql("cf", "m", "solute, solvent, source") + ", " + GOOD
+# the interpolated branch is of fitted sources that aren't copies of all others
+ASSEMBLED = VARIABILITY + ", " + FITS + ", " + GOOD_FITS + """, gn AS (SELECT solute, solvent, count(*) AS gn FROM good GROUP BY ALL),
+  cp AS (SELECT solute, solvent, source1 AS source, source2 AS other FROM c UNION SELECT solute, solvent, source2, source1 FROM c),
+  cc AS (SELECT cp.solute, cp.solvent, cp.source, count(*) AS k FROM cp JOIN good a ON a.solute = cp.solute AND a.solvent = cp.solvent AND a.source = cp.source JOIN good b ON b.solute = cp.solute AND b.solvent = cp.solvent AND b.source = cp.other GROUP BY ALL),
+  gi AS (SELECT good.* FROM good JOIN gn USING (solute, solvent) LEFT JOIN cc USING (solute, solvent, source) WHERE coalesce(k, 0) < gn - 1), """ + interpolated_sql("gi", "ix") + """,
+  vb AS (SELECT solute, solvent, 'direct' AS method, n_comparisons, mae, rmse, std, max_dev FROM vr WHERE (solute, solvent) NOT IN (SELECT (solute, solvent) FROM gn WHERE gn >= 2)
+    UNION ALL SELECT solute, solvent, 'interpolated', n_comparisons, mae, rmse, std, max_dev FROM ix)"""
 
 
-@query(rounded_sql(CONSENSUS, "SELECT * FROM con", "t value sigma", 3))
+def _assembled(spark, sf):
+    """Disagreement of each group's sources: of curves where two are fitted, else of readings."""
+    statistics, fitted = _statistics(spark, sf), materialise(_fits(spark, sf))
+    direct = audit.direct_variability(measurements(spark, sf), statistics, KEYS, "source", "t")
+    points = fits.interpolated(fitted, KEYS, "source", pairs.reference_grid, 0.5, 0.5, audit.copies(statistics).select(*KEYS, "source1", "source2"))
+    between = points.groupBy(*KEYS).agg(*audit.error_summary(F.col("y1") - F.col("y2")))
+    return audit.variability(direct, between, fits.fitted_groups(fits.good_fits(fitted, 0.5), KEYS), KEYS)
+
+
+@query(rounded_sql(ASSEMBLED, "SELECT * FROM vb", "mae rmse std max_dev", 5))
+def variability(spark, sf):
+    return rounded(_assembled(spark, sf), 5)
+
+
+def consensus_sql(rows: str, group: str) -> str:
+    """Common table expression con: labels of ``rows``, with ``group`` as the independence group."""
+    return fit_sql("cf", rows, f"solute, solvent, {group}") + f""", cg AS (SELECT * FROM cf WHERE r2 >= 8e-1 AND rmse <= 3e-1), ft AS (SELECT solute, solvent, max(t_min) AS lo, min(t_max) AS hi FROM cg GROUP BY ALL HAVING count(*) >= 2),
+  ms AS (SELECT DISTINCT z.solute, z.solvent, z.t, lo, hi FROM {rows} z JOIN ft USING (solute, solvent)), ni AS (SELECT *, count(*) FILTER (t >= lo AND t <= hi) OVER (PARTITION BY solute, solvent) AS n_in FROM ms),
+  cv AS (SELECT ni.solute, ni.solvent, ni.t, {group} AS g, a + b / ni.t + c * ln(ni.t) AS v, 'curve' AS method FROM ni JOIN cg USING (solute, solvent) WHERE ((ni.t >= lo AND ni.t <= hi) OR n_in = 0) AND ni.t >= t_min AND ni.t <= t_max),
+  md AS (SELECT solute, solvent, t, {group} AS g, median(y) AS v, 'direct' AS method FROM {rows} WHERE (solute, solvent) NOT IN (SELECT (solute, solvent) FROM ft) GROUP BY solute, solvent, t, {group}),
+  con AS (SELECT solute, solvent, t, method, avg(v) AS value, count(v) AS n_sources, CASE WHEN count(v) > 1 THEN stddev_pop(v) END AS sigma, array_to_string(list_sort(list(DISTINCT g)), '|') AS groups FROM (SELECT * FROM cv UNION ALL SELECT * FROM md) GROUP BY ALL)"""
+
+
+GROUPED = GROUPS + ", grp AS (SELECT node AS source, min(root) AS g FROM reach GROUP BY node), mg AS (SELECT m.*, grp.g FROM m JOIN grp USING (source))"
+CONSENSUS = GROUPED + ", " + consensus_sql("mg", "g")
+
+
+def _grouped(spark, sf, copies):
+    """Measurements with the independence group of their source."""
+    rows = measurements(spark, sf)
+    return rows.join(audit.independence_groups(copies.select("source1", "source2").distinct(), rows, "source").withColumnRenamed("group_id", "g"), "source")
+
+
+@query(rounded_sql(COPIES + ", " + CONSENSUS, "SELECT * FROM con", "t value sigma", 4).replace("WITH m AS", "WITH RECURSIVE m AS", 1))
 def consensus_labels(spark, sf):
-    return rounded(tiers.consensus(measurements(spark, sf), KEYS, "source", "t", "y"), 3)
+    labels = tiers.consensus(_grouped(spark, sf, _copies(spark, sf)), KEYS, "g", "t", "y")
+    return rounded(labels.withColumn("groups", F.array_join("groups", "|")), 4)
 
 
-TIER = VARIABILITY + ", tr AS (SELECT solute, solvent, mae, tier FROM vr, (VALUES ('gold', 1e-1), ('silver', 2e-1), ('bronze', 5e-1)) k(tier, lim) WHERE mae >= 2e-2 AND mae <= lim)"
+TIER = ASSEMBLED + ", tr AS (SELECT solute, solvent, mae, tier FROM vb, (VALUES ('gold', 1e-1), ('silver', 2e-1), ('bronze', 5e-1)) k(tier, lim) WHERE mae >= 2e-2 AND mae <= lim)"
 
 
-@query(rounded_sql(TIER, "SELECT * FROM tr", "mae"))
+@query(rounded_sql(TIER, "SELECT * FROM tr", "mae", 5))
 def tier_membership(spark, sf):
-    return rounded(tiers.tier_membership(_variability(spark, sf).select(*KEYS, "mae")))
+    return rounded(tiers.tier_membership(_assembled(spark, sf).select(*KEYS, "mae")), 5)
 
 
-@query(rounded_sql(TIER + ", " + CONSENSUS, "SELECT tier, count(*) AS n, count(DISTINCT (solute, solvent)) AS n_pairs, avg(value) AS mean FROM con JOIN tr USING (solute, solvent) GROUP BY tier", "mean", 5))
+@query(rounded_sql(TIER + ", " + CONSENSUS + ", told AS (SELECT solute, solvent, array_to_string(list_sort(list(DISTINCT source)), '|') AS sources FROM m GROUP BY ALL)",
+    "SELECT tier, solute, solvent, t, method, value, con.n_sources, sigma, groups, mae AS interlab_mae, sources FROM con JOIN tr USING (solute, solvent) JOIN told USING (solute, solvent)", "t value sigma interlab_mae", 4).replace("WITH m AS", "WITH RECURSIVE m AS", 1))
 def tier_rows(spark, sf):
+    """Every label of every tier."""
     rows = measurements(spark, sf)
-    found = tiers.tier_rows(tiers.consensus(rows, KEYS, "source", "t", "y"), tiers.tier_membership(_variability(spark, sf).select(*KEYS, "mae")), KEYS, rows, "source")
-    return rounded(found.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*KEYS).alias("n_pairs"), F.avg("value").alias("mean")), 5)
+    labels = tiers.consensus(_grouped(spark, sf, _copies(spark, sf)), KEYS, "g", "t", "y").withColumn("groups", F.array_join("groups", "|"))
+    return rounded(tiers.tier_rows(labels, tiers.tier_membership(_assembled(spark, sf).select(*KEYS, "mae")), KEYS, rows, "source"), 4)
 
 
 @query()
@@ -497,16 +539,9 @@ def similarity_cosine(spark, sf):
     return rounded(rollup.cosine_similarity(vectors, "label", "v"))
 
 
-@query(f"""WITH {FEATURES} SELECT a.pos AS i, b.pos AS j, round(avg(abs(a.v * b.v)), 6) AS strength FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.pos < b.pos WHERE a.pos < 12 AND b.pos < 12 GROUP BY 1, 2 ORDER BY avg(abs(a.v * b.v)) DESC, i, j LIMIT 50""")
-def interaction_top(spark, sf):
-    f = _features(spark, sf).where("pos < 12")
-    both = f.select("vec_id", F.col("pos").alias("i"), F.col("v").alias("a")).join(f.select("vec_id", F.col("pos").alias("j"), F.col("v").alias("b")), "vec_id").withColumn("z", F.col("a") * F.col("b"))
-    return rounded(rollup.interactions(both, "i", "j", "z"))
-
-
 @query(f"""WITH {FEATURES} SELECT a.pos AS i, b.pos AS j, round(avg(abs(a.v * b.v)), 6) AS strength FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.pos < b.pos GROUP BY 1, 2 ORDER BY avg(abs(a.v * b.v)) DESC, i, j LIMIT 50""")
-def interaction_top_all(spark, sf):
-    """interaction_top of all pairs of features; a vector's pairs come from its own array, without a join."""
+def interaction_top(spark, sf):
+    """A vector's pairs come from its own array, without a join."""
     rows = table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("e"))
     one = rows.select("e", F.posexplode("e").alias("i", "a"))
     both = one.select(F.col("i").cast("long").alias("i"), "a", F.posexplode("e").alias("j", "b")).withColumn("j", F.col("j").cast("long")).where("i < j")
@@ -523,16 +558,8 @@ def group_contributions(spark, sf):
     return rounded(rollup.contributions(measurements(spark, sf), "solute", "flag", "y"))
 
 
-@query(rounded_sql("q AS (SELECT t, y FROM m)", "SELECT count(*) AS n, avg(y) AS mean FROM q WHERE t >= 273.15e0", "mean"))
-def fit_quality_filter(spark, sf):
-    good = filters.fit_quality(["any"], -1e9, 1e9, 300.0)
-    rows = measurements(spark, sf).withColumns({"model": F.lit("any"), "r2": F.lit(1.0), "rmse": F.lit(0.0), "t_min": F.lit(290.0), "t_max": F.lit(310.0)})
-    return rounded(rows.where(good).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean")))
-
-
 @query(rounded_sql(FITS, "SELECT count(*) AS n, avg(r2) AS mean FROM fit WHERE r2 >= 8e-1 AND rmse <= 3e-1 AND t_min <= 298.15e0 AND t_max >= 298.15e0", "mean", 4))
-def fit_quality_filter_fits(spark, sf):
-    """fit_quality_filter of the fits themselves, with thresholds that reject some."""
+def fit_quality_filter(spark, sf):
     return rounded(_fits(spark, sf).withColumn("model", F.lit("apelblat")).where(filters.fit_quality(["apelblat"], 0.8)).agg(F.count(F.lit(1)).alias("n"), F.avg("r2").alias("mean")), 4)
 
 

@@ -248,10 +248,10 @@ def intersect_pairs(spark, sf):
     return a.intersect(b)
 
 
-@query(rounded_sql(HALVES, "SELECT * FROM a EXCEPT SELECT * FROM b"))
+@query(rounded_sql(HALVES, "SELECT * FROM a EXCEPT SELECT solute, solvent FROM m WHERE y > -8e-1"))
 def except_pairs(spark, sf):
-    a, b = _halves(spark, sf)
-    return a.subtract(b)
+    a, _ = _halves(spark, sf)
+    return a.subtract(measurements(spark, sf).where("y > -0.8").select(*KEYS))
 
 
 @query(rounded_sql(HALVES, "SELECT (SELECT count(*) FROM a) AS n_keys, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS n_missing, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) = 0 AS is_subset"))
@@ -315,9 +315,13 @@ def leak_matrix(spark, sf):
     return splits.leak_matrix(_split(spark, sf), "split", ["solute"])
 
 
-@query(rounded_sql(HOLDOUT + ", d AS (SELECT DISTINCT split, solute, solvent FROM s)", 'SELECT a.split AS "left", b.split AS "right", count(*) AS n FROM d a JOIN d b ON a.solute = b.solute AND a.solvent = b.solvent AND a.split < b.split GROUP BY 1, 2'))
+VALIDATION = "s AS (SELECT solute, solvent, CASE WHEN r <= CASE WHEN n <= 1 THEN 0 ELSE least(greatest(1, cast(floor(n * 15e-2) AS bigint)), n - 1) END THEN 'validation' ELSE 'train' END AS split FROM (SELECT *, " + RANK.format(by="solvent", key="rid") + " AS r, count(*) OVER (PARTITION BY solvent) AS n FROM m))"
+
+
+@query(rounded_sql(VALIDATION + ", d AS (SELECT DISTINCT split, solute, solvent FROM s)", 'SELECT a.split AS "left", b.split AS "right", count(*) AS n FROM d a JOIN d b ON a.solute = b.solute AND a.solvent = b.solvent AND a.split < b.split GROUP BY 1, 2'))
 def leak_matrix_pairs(spark, sf):
-    return splits.leak_matrix(_split(spark, sf), "split", KEYS)
+    """The pairs that a split by rows leaks; a split by groups leaks none."""
+    return splits.leak_matrix(splits.stratified_validation(measurements(spark, sf), "solvent", ["rid"]), "split", KEYS)
 
 
 @query(rounded_sql("h AS (SELECT DISTINCT solute, solvent FROM m WHERE y > -5e-1), c AS (SELECT solute, solvent, count(*) AS n FROM m GROUP BY ALL)", "SELECT cast(sum(n) AS bigint) AS n_rows, count(*) AS n_pairs, cast(coalesce(sum(n) FILTER (h.solute IS NOT NULL), 0) AS bigint) AS hit_rows, count(h.solute) AS hit_pairs FROM c LEFT JOIN h USING (solute, solvent)"))
@@ -334,9 +338,10 @@ def priority_split_assignment(spark, sf):
     return splits.priority_split(rows, KEYS, held).select("rid", "split")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_join(spark, sf):
-    return splits.without(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    return splits.without(table(spark, sf, "customer").select("c_custkey"), urgent.withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
 
 
 @query(rounded_sql("h AS (SELECT DISTINCT solute, solvent FROM m WHERE y > -5e-1)", "SELECT rid FROM m WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.solute = m.solute AND h.solvent = m.solvent)"))

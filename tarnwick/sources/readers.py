@@ -44,11 +44,17 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], form:
     return spark.read.format(form).load(path)
 
 
+#: Arrays that read_arrays gives tables of.
+MOST_ARRAYS = 10_000
+
+
 def read_arrays(spark: SparkSession, path: str, name: str = "name", values: str = "values") -> dict[str, DataFrame] | None:
     """Named arrays of one Parquet table (name, values): a table for each name, or None where there is no such table."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return None
     df = require(spark.read.parquet(path), {name, values})
-    names = [r[0] for r in df.select(name).distinct().limit(10_000).collect()]
+    names = [r[0] for r in df.select(name).distinct().limit(MOST_ARRAYS + 1).collect()]
+    if len(names) > MOST_ARRAYS:
+        raise ValueError(f"more than {MOST_ARRAYS} arrays in {path}: read the table itself")
     return {n: df.where(F.col(name) == n).select(values) for n in names}

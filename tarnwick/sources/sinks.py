@@ -16,6 +16,17 @@ def write_parquet(df: DataFrame, path: str, partition: list[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition).parquet(path)
 
 
+def write_arrays(arrays: dict[str, DataFrame], path: str, name: str = "name", values: str = "values") -> None:
+    """Named arrays as one Parquet table (name, values), which read_arrays reads; each table has one array column."""
+    out = None
+    for key, df in arrays.items():
+        part = df.select(F.lit(key).alias(name), F.col(df.columns[0]).alias(values))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no arrays")
+    out.write.mode("overwrite").parquet(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
