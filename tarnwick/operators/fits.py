@@ -12,9 +12,10 @@ import itertools
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwick.operators.profile import counts_below
+
 #: Below this share of Suu * Sww the temperatures don't determine three parameters.
 DEGENERATE = 1e-12
 
@@ -167,7 +168,7 @@ def distribution_fits(df: DataFrame, x: str) -> DataFrame:
     """
     rows = df.where(F.col(x) > 0).select(F.col(x).cast("double").alias("x"))
     s = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.ln("x")).alias("m"), F.stddev_pop(F.ln("x")).alias("s"), F.min("x").alias("lo"), F.avg("x").alias("mean"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
-    steps = rows.groupBy("x").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, 0)))
+    steps = counts_below(rows.groupBy("x").agg(F.count(F.lit(1)).alias("k")), "x", "k", "below").withColumn("upto", F.col("below") + F.col("k"))
     both = steps.crossJoin(s)  # one row of parameters
     normal = lambda z: _normal_cdf(z)
     laws = {"lognormal": (normal((F.ln("x") - F.col("m")) / F.col("s")), F.col("m"), F.col("s")), "exponential": (1 - F.exp(-(F.col("x") - F.col("lo")) / (F.col("mean") - F.col("lo"))), F.col("lo"), F.col("mean") - F.col("lo")), "halfnormal": (2 * normal(F.col("x") / F.col("rms")) - 1, F.lit(0.0), F.col("rms"))}

@@ -155,11 +155,29 @@ def threshold_choices(df: DataFrame, x: str, shares: list[float], target: int) -
     return both.select(F.explode(F.array(*(F.struct(F.lit(n).alias("strategy"), F.col(n).alias("threshold"), F.col(f"n_{n}").alias("n")) for n in names))).alias("s")).select("s.*").where("n > 0")
 
 
+#: Ranges of a value that are put in order apart from each other.
+RANGES = 256
+
+
+def counts_below(sizes: DataFrame, x: str, k: str, name: str, keys: list[str] = ()) -> DataFrame:
+    """sizes (keys, a distinct x, its count k) with the sum of k of all smaller x of the same keys.
+
+    The values are cut into RANGES ranges at approximate quantiles. Each range is put in order by itself, and the ranges' sums are a bounded table, so no task orders all values.
+    """
+    cuts = sizes.approxQuantile(x, [i / RANGES for i in range(1, RANGES)], 1 / (4 * RANGES))
+    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(x))) if cuts else F.lit(0)
+    placed = sizes.withColumn("_range", at)
+    sums = placed.groupBy(*keys, "_range").agg(F.sum(k).alias("_sum"))
+    group = W.partitionBy(*keys) if keys else W.partitionBy()  # at most RANGES rows each
+    before = sums.select(*keys, "_range", F.coalesce(F.sum("_sum").over(group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum(k).over(W.partitionBy(*keys, "_range").orderBy(x).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return join_back(placed.withColumn("_inside", inside), before, [*keys, "_range"]).withColumn(name, F.col("_inside") + F.col("_before")).drop("_range", "_inside", "_before")
+
+
 def average_ranks(df: DataFrame, x: str, name: str, keys: list[str] = ()) -> DataFrame:
     """df with the average rank of x within keys. Ranks come from the counts of distinct values."""
     sizes = df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_k"))
-    before = F.coalesce(F.sum("_k").over(W.partitionBy(*keys).orderBy(x).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = sizes.select(*keys, x, (before + (F.col("_k") + 1) / 2).alias(name))
+    ranks = counts_below(sizes, x, "_k", "_below", list(keys)).select(*keys, x, (F.col("_below") + (F.col("_k") + 1) / 2).alias(name))
     return df.join(ranks, [*keys, x])
 
 

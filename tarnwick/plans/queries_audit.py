@@ -305,9 +305,9 @@ ASSEMBLED = VARIABILITY + ", " + FITS + ", " + GOOD_FITS + """, gn AS (SELECT so
     UNION ALL SELECT solute, solvent, 'interpolated', n_comparisons, mae, rmse, std, max_dev FROM ix)"""
 
 
-def _assembled(spark, sf):
+def _assembled(spark, sf, statistics=None):
     """Disagreement of each group's sources: of curves where two are fitted, else of readings."""
-    statistics, fitted = _statistics(spark, sf), materialise(_fits(spark, sf))
+    statistics, fitted = statistics or _statistics(spark, sf), materialise(_fits(spark, sf))
     direct = audit.direct_variability(measurements(spark, sf), statistics, KEYS, "source", "t")
     points = fits.interpolated(fitted, KEYS, "source", pairs.reference_grid, 0.5, 0.5, audit.copies(statistics).select(*KEYS, "source1", "source2"))
     between = points.groupBy(*KEYS).agg(*audit.error_summary(F.col("y1") - F.col("y2")))
@@ -356,9 +356,9 @@ def tier_membership(spark, sf):
     "SELECT tier, solute, solvent, t, method, value, con.n_sources, sigma, groups, mae AS interlab_mae, sources FROM con JOIN tr USING (solute, solvent) JOIN told USING (solute, solvent)", "t value sigma interlab_mae", 4).replace("WITH m AS", "WITH RECURSIVE m AS", 1))
 def tier_rows(spark, sf):
     """Every label of every tier."""
-    rows = measurements(spark, sf)
-    labels = tiers.consensus(_grouped(spark, sf, _copies(spark, sf)), KEYS, "g", "t", "y").withColumn("groups", F.array_join("groups", "|"))
-    return rounded(tiers.tier_rows(labels, tiers.tier_membership(_assembled(spark, sf).select(*KEYS, "mae")), KEYS, rows, "source"), 4)
+    rows, statistics = measurements(spark, sf), _statistics(spark, sf)
+    labels = tiers.consensus(_grouped(spark, sf, audit.copies(statistics)), KEYS, "g", "t", "y").withColumn("groups", F.array_join("groups", "|"))
+    return rounded(tiers.tier_rows(labels, tiers.tier_membership(_assembled(spark, sf, statistics).select(*KEYS, "mae")), KEYS, rows, "source"), 4)
 
 
 @query()
