@@ -8,7 +8,7 @@ symmetric difference of two linked sets is bounded by ``(100 - percent) * smalle
 can tell them apart; so of each document's parts, ordered by what they hold, the first bound + 1 suffice, and linked
 documents meet in at least one region. Sizes are cut into classes by the same ratio, and a document near a class's border is replicated to the neighbour.
 
-Documents that share a region form groups. A group of at most GROUP_DOCS documents is joined exactly in one task, block by block on a
+Documents that share a region form groups. A group of at most GROUP_DOCS documents and GROUP_SHINGLES shingles is joined exactly in one task, block by block on a
 matrix of shingles. A larger one is cut by pivot documents into Voronoi cells, where a document is
 replicated to each cell whose pivot is at most twice the link distance farther than its nearest, and the cells are joined in the same way; a
 cell that doesn't get smaller is joined as pairs of blocks, each in a task of its own. So any link is found,
@@ -36,8 +36,9 @@ from tarnwick.llm.graph import checkpoint, components, forest, text_size
 SHINGLE = 4
 #: With SHINGLE, fixed by the contract of op1; others pass their own.
 PERCENT = 85
-#: Documents that one task joins at most in one block.
+#: Documents that one task joins at most in one block, and the shingles that as many have at most: a group of long documents counts as more of them.
 GROUP_DOCS = 1024
+GROUP_SHINGLES = 4 << 20
 #: Levels of pivot cells before blocks.
 LEVELS = 2
 #: Ids of at most so many documents are broadcast (8 bytes each); more are joined by a shuffle.
@@ -276,8 +277,10 @@ def _region_edges(rows: DataFrame, group_docs: int, levels: int, percent: int) -
         return _cells(table, percent)
 
     for level in range(levels + 1):
-        sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-        large = checkpoint(sizes.where(F.col("n") > group_docs))
+        sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first"), F.sum(F.octet_length("items")).alias("bytes"))
+        # n: as many documents of the usual length as the group has shingles for
+        weight = F.ceil(F.col("bytes") / 8 * group_docs / GROUP_SHINGLES).cast("long")
+        large = checkpoint(sizes.select("group", "first", "docs", F.greatest("docs", weight).alias("n")).where((F.col("n") > group_docs) & (F.col("docs") > 1)))
         n_large = large.count()
         large = F.broadcast(large) if n_large <= BROADCAST_IDS else large
         small = rows.join(large.select("group"), "group", "left_anti") if n_large else rows
@@ -287,7 +290,7 @@ def _region_edges(rows: DataFrame, group_docs: int, levels: int, percent: int) -
         held = rows.join(large, "group")
         if level < levels:
             # pivots: about four for each group that fits into a task, those with small hashes, and the first document so that there is one
-            share = F.least(F.lit(64.0), F.ceil(4 * F.col("n") / group_docs)) / F.col("n")
+            share = F.least(F.lit(64.0), F.ceil(4 * F.col("n") / group_docs)) / F.col("docs")
             pivots = held.where((F.pmod(F.xxhash64("id", F.lit(31 + level)), F.lit(1 << 30)) < share * (1 << 30)) | (F.col("id") == F.col("first")))
             parts = F.greatest(F.lit(1), F.ceil(F.col("n") / group_docs)).cast("int")
             mine = held.withColumn("part", F.pmod(F.xxhash64("id", F.lit(level)), parts)).withColumn("pivot", F.lit(0))
@@ -295,7 +298,7 @@ def _region_edges(rows: DataFrame, group_docs: int, levels: int, percent: int) -
             both = mine.select("group", "part", "pivot", "id", "items").unionByName(copies.select("group", "part", "pivot", "id", "items"))
             cells = checkpoint(both.groupBy("group", "part").applyInArrow(cells_of, "group long, id long, items binary, cell long"))
             # a group whose documents mostly belong to several cells gets no smaller this way
-            dense = checkpoint(cells.groupBy("group").agg(F.count(F.lit(1)).alias("k")).join(large, "group").where(F.col("k") > 2 * F.col("n")).select("group"))
+            dense = checkpoint(cells.groupBy("group").agg(F.count(F.lit(1)).alias("k")).join(large, "group").where(F.col("k") > 2 * F.col("docs")).select("group"))
             rows = cells.join(dense, "group", "left_anti").select(F.xxhash64("group", "cell").alias("group"), "id", "items")
             held = held.join(dense, "group", "left_semi")
         edges.append(_block_edges(held, group_docs, percent))

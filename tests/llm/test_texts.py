@@ -68,6 +68,16 @@ def test_jaccard_keeps_one_of_each(spark, rng):
     assert {r["doc_id"] for r in kept} == {c for _, c in components_by_force(docs).values()} and len(kept[0]) == 3
 
 
+def test_jaccard_of_long_documents(spark, rng, monkeypatch):
+    """Groups that are cut because of their shingles, and one text of very many words."""
+    monkeypatch.setattr(jaccard_join, "GROUP_SHINGLES", 400)
+    docs = near_copies(rng)
+    long = [f"v{rng.randrange(10**6)}" for _ in range(60_000)]
+    docs += [(5000, " ".join(long), None), (5001, " ".join(long[:-50]), None)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(frame(spark, docs), group_docs=16).collect()}
+    assert got == components_by_force(docs) and got[5001][1] == 5000
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_join.jaccard_join(frame(spark, [])).count() == 0
 
