@@ -8,7 +8,7 @@ known language: no letters at all, or a cosine below the limit.
 
 The limit depends on the number of n-grams, since a short text is far from every centroid. For each class of lengths two cosines are taken from the
 sample: what FOREIGN of its texts stay below when their own language's centroids are left out, as texts of an unknown language would, and what all but FALSE
-of them reach with their own language. The limit lies halfway between, or at the second where the two overlap. Classes of which the sample has few texts
+of them reach with their own language. The limit lies a quarter of the way from the first to the second, or at the second where the two overlap. Classes of which the sample has few texts
 take the limit of the next shorter one. A model of a single language rejects only texts without letters.
 
 More than MOST_LANGUAGES different labels are an error, none is left out.
@@ -40,7 +40,7 @@ LEAST_ROWS = 30
 MOST_LANGUAGES = 2000
 DIMENSIONS = 4096
 #: Shares of the sample's texts, see above.
-FOREIGN, FALSE = 0.99, 0.002
+FOREIGN, FALSE = 0.95, 0.002
 #: Texts of a class of lengths (powers of four) that a limit needs.
 LEAST_CLASS = 20
 
@@ -107,7 +107,7 @@ def _limits(own: np.ndarray, other: np.ndarray, kind: np.ndarray) -> np.ndarray:
         here = kind == k
         if here.sum() >= LEAST_CLASS:
             near, far = np.quantile(own[here], FALSE), np.quantile(other[here], FOREIGN)
-            out[k] = near if far >= near else (near + far) / 2
+            out[k] = min(near, far + (near - far) / 4)
         elif k:
             out[k] = out[k - 1]
     return out
