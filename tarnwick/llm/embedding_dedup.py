@@ -202,7 +202,7 @@ def near_dedup(
 
     seen = checkpoint(pairs.groupBy("cell", "lo", "hi").applyInArrow(compare, "id long, links long, root long"))
     links = seen.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = components(seen.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    joined = components(seen.select(F.col("id").alias("a"), F.col("root").alias("b")), stored=True)
     told = reps.select("h1", "h2", "rep", "copies").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     out = good.select("id", "h1", "h2").join(told, ["h1", "h2"], "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = out.unionByName(marked.where(~F.col("valid")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))

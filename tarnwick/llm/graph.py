@@ -67,13 +67,20 @@ def _local(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, local: bool = True) -> DataFrame:
+#: Edges that one task shrinks to a forest.
+EDGES_PER_TASK = 1 << 18
+
+
+def components(edges: DataFrame, stored: bool = False) -> DataFrame:
     """node, component (smallest node that is reachable) for every node of the edges (a, b), by alternating large and small stars.
 
-    ``local`` first shrinks the edges by partition. Each round is two aggregates by node and a join with their result, written to the checkpoint folder; nothing is collected but counts.
+    The edges are written first, unless they are ``stored`` already, and so many of them shrunk to a forest in one task that groups with many edges between few nodes nearly get
+    trees, however many partitions they came in. Each round is two aggregates by node and a join with their result, written to the checkpoint folder; nothing is collected but counts.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
-    now = checkpoint((_local(edges) if local else edges).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = edges if stored else checkpoint(edges)
+    few = _local(edges.coalesce(max(1, -(-edges.count() // EDGES_PER_TASK))))
+    now = checkpoint(few.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

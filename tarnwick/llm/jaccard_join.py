@@ -38,13 +38,15 @@ SHINGLE = 4
 PERCENT = 85
 #: Documents that one task joins at most in one block, and the shingles that as many have at most: a group of long documents counts as more of them.
 GROUP_DOCS = 1024
-GROUP_SHINGLES = 4 << 20
+GROUP_SHINGLES = 1 << 20
 #: Levels of pivot cells before blocks.
 LEVELS = 2
 #: Ids of at most so many documents are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _BUCKET_BYTES = 16 << 20
 _FLUSH = 1 << 19
+#: Columns of the matrix of shingles at a time.
+_ITEMS = 2048
 _U = np.uint64
 
 
@@ -207,26 +209,35 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of sets, as a matrix; by blocks of shared items."""
     n = len(left)
     items = np.concatenate([*left, *right])
-    owner = np.repeat(np.arange(n + len(right)), [len(x) for x in (*left, *right)])
-    values, place, count = np.unique(items, return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[place]
-    place, owner = number[place[keep]], owner[keep]
+    order = np.argsort(items)
+    items = items[order]
+    same = items[1:] == items[:-1]
+    del items
+    # items of one document only are left out; the others are numbered in order
+    keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    place = (np.cumsum(np.concatenate([[True], ~same])[keep]) - 1).astype(np.int32)
+    owner = np.repeat(np.arange(n + len(right), dtype=np.int32), [len(x) for x in (*left, *right)])[order[keep]]
+    del order, keep, same
     out = np.zeros((n, len(right)), np.float32)
-    for lo in range(0, int(shared.sum()), 4096):
-        here = (place >= lo) & (place < lo + 4096)
-        block = np.zeros((n + len(right), min(4096, int(shared.sum()) - lo)), np.float32)
-        block[owner[here], place[here] - lo] = 1
+    shared = int(place[-1]) + 1 if len(place) else 0
+    for lo in range(0, shared, _ITEMS):
+        a, z = np.searchsorted(place, (lo, lo + _ITEMS))
+        block = np.zeros((n + len(right), min(_ITEMS, shared - lo)), np.float32)
+        block[owner[a:z], place[a:z] - lo] = 1
         out += block[:n] @ block[n:].T
     return out
 
 
 def _links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the linked pairs."""
-    inter = np.rint(_overlaps(left, right)).astype(np.int64)
-    union = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None] - inter
-    return np.nonzero((100 * inter >= percent * union) & (union > 0))
+    inter = _overlaps(left, right)
+    size, other = np.array([len(x) for x in left], np.int64), np.array([len(x) for x in right], np.int64)
+    near = np.nonzero((100 + percent) * inter >= (percent - 0.5) * (size[:, None] + other[None]).astype(np.float32))
+    # the float matrix only rules out; whole numbers decide
+    both = np.rint(inter[near]).astype(np.int64)
+    union = size[near[0]] + other[near[1]] - both
+    fine = (100 * both >= percent * union) & (union > 0)
+    return near[0][fine], near[1][fine]
 
 
 def _distances(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
@@ -326,8 +337,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         raise ValueError(f"percent must be from 1 to 99, not {percent}")
     buckets = max(256, -(-text_size(docs, text) // _BUCKET_BYTES))
     found = checkpoint(candidates(docs, buckets, key, text, shingle, percent))
-    stars, equal = found.where("kind = 0").select("a", "b").distinct(), found.where("kind = 1").select("a", "b")
-    groups = checkpoint(components(stars).select(F.col("node").alias("id"), F.col("component").alias("group")))
+    stars, equal = found.where("kind = 0").select("a", "b"), found.where("kind = 1").select("a", "b")
+    groups = checkpoint(components(stars, stored=True).select(F.col("node").alias("id"), F.col("component").alias("group")))
     n = groups.count()
     kept = F.broadcast(groups) if n <= BROADCAST_IDS else groups
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(kept, "id")
@@ -340,7 +351,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     rows = checkpoint(texts.select("group", "id", "text").mapInArrow(sets, "group long, id long, items binary"))
     edges = _region_edges(rows, group_docs, levels, percent).unionByName(equal)
-    return components(edges, local=False).select(F.col("node").alias("id"), F.col("component").alias("component_id"))
+    return components(edges).select(F.col("node").alias("id"), F.col("component").alias("component_id"))
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:
