@@ -13,12 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.llm import decontamination, jaccard_join, language_id, packing, queries_packing, secret_scans
+from tarnwick.llm.columns import unused
 from tarnwick.llm.graph import shared_folder
 
 
+def _beside(docs: DataFrame, outputs: tuple[str, ...], rows) -> DataFrame:
+    """The columns of docs for ``rows`` of docs, which an operator chooses; columns named like its outputs step aside for it."""
+    clashing = [c for c in docs.columns if c.lower() in outputs]
+    aside = dict(zip(clashing, unused([*docs.columns, *outputs], *clashing), strict=True))
+    return rows(docs.withColumnsRenamed(aside)).select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; the model is fitted on the documents' own labels."""
-    return language_id.identify(docs, language_id.fit(docs)).where("not rejected").select(*docs.columns)
+    model = language_id.fit(docs)
+    return _beside(docs, ("lang_pred", "score", "rejected"), lambda rows: language_id.identify(rows, model).where("not rejected"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the benchmark's windows cover less than a twentieth."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), clean=False)
-    return found.where("not contaminated").select(*docs.columns)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _beside(docs, ("n_words", "n_hit", "items", "contaminated", "clean_text"), lambda rows: decontamination.decontaminate(rows, items, clean=False).where("not contaminated"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
