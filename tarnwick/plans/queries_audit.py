@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnwick.operators import audit, filters, fits, metrics, pairs, rollup, tiers
+from tarnwick.operators import audit, blocks, filters, fits, metrics, pairs, rollup, tiers
 from tarnwick.operators.graph import materialise
 from tarnwick.plans.queries_basic import FEATURES, _features
 from tarnwick.plans.views import KEYS, ORDER, RAW, measurements, rounded, rounded_sql
@@ -32,10 +32,18 @@ POINTS = """r AS (SELECT solute, solvent, source, round_even(t, 2) AS t, min_by(
 COPIES = POINTS + ", c AS (SELECT *, CASE WHEN exact THEN 'exact' ELSE 'near' END AS kind FROM mae WHERE exact OR mae < 1e-2)"
 
 
+NEAR = 0.01  # of copies' mean difference
+
+
 def _readings(spark, sf):
     return pairs.readings(measurements(spark, sf), KEYS, "source", "t", "y", ORDER)
 
 
+def _rows(spark, sf):
+    """A row for each source of a group, with its readings; pairs are taken of these."""
+    return blocks.source_rows(measurements(spark, sf), KEYS, "source", "t", "y", ORDER)
+
+
 def _points(spark, sf):
     return pairs.paired(_readings(spark, sf), KEYS, "source", "t", "y")
 
@@ -92,7 +100,7 @@ def semi_join_sources(spark, sf):
 
 @query(rounded_sql(COPIES, "SELECT solute, solvent, count(*) AS n FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.solute = p.solute AND c.solvent = p.solvent AND least(c.source1, c.source2) = least(p.source1, p.source2) AND greatest(c.source1, c.source2) = greatest(p.source1, p.source2)) GROUP BY ALL"))
 def excluded_pairs(spark, sf):
-    return pairs.without_pairs(_points(spark, sf), _copies(spark, sf), KEYS).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    return blocks.shared_points(_rows(spark, sf), KEYS, "source", NEAR)
 
 
 @query(rounded_sql(SPANS, "SELECT solute, solvent, source, unnest(CASE WHEN cast(ceil(lo / 5) * 5 AS int) <= cast(floor(hi / 5) * 5 AS int) THEN list_transform(range(cast(ceil(lo / 5) * 5 AS int), cast(floor(hi / 5) * 5 AS int) + 1, 5), lambda x: cast(x AS double)) ELSE [(lo + hi) / 2] END) AS g FROM sp", "g"))
