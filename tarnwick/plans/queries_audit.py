@@ -59,7 +59,7 @@ def _copies(spark, sf):
 
 @query(rounded_sql(POINTS, "SELECT * FROM mae", "mae"))
 def pairwise_shared_mae(spark, sf):
-    return rounded(pairs.pair_maes(_points(spark, sf), KEYS))
+    return rounded(blocks.pair_maes(_rows(spark, sf), KEYS, "source", lambda t: t.pair))
 
 
 @query(rounded_sql("", """SELECT solute, solvent, source1, source2, t1, y1, t2, y2 FROM (SELECT a.solute, a.solvent, a.source AS source1, b.source AS source2, a.t AS t1, a.y AS y1, b.t AS t2, b.y AS y2, row_number() OVER (PARTITION BY a.rid, b.source ORDER BY b.rid) AS r
