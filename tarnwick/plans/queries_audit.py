@@ -89,8 +89,7 @@ SPANS = "sp AS (SELECT solute, solvent, source, min(t) AS lo, max(t) AS hi, coun
 
 @query(rounded_sql(POINTS + ", " + SPANS, "SELECT mae.solute, mae.solvent, source1, source2 FROM mae JOIN sp a ON a.solute = mae.solute AND a.solvent = mae.solvent AND a.source = source1 JOIN sp b ON b.solute = mae.solute AND b.solvent = mae.solvent AND b.source = source2 WHERE a.hi - b.lo >= 45 OR b.hi - a.lo >= 45 OR a.n <= 1 OR b.n <= 1"))
 def range_gate(spark, sf):
-    rows = measurements(spark, sf)
-    return pairs.range_gate(rows, pairs.pair_maes(_points(spark, sf), KEYS).select(*KEYS, "source1", "source2"), KEYS, "source", "t", 45.0)
+    return blocks.pair_maes(_rows(spark, sf), KEYS, "source", lambda t: t.apart(45.0)).select(*KEYS, "source1", "source2")
 
 
 @query(rounded_sql("", "SELECT rid FROM m WHERE (solute, solvent) IN (SELECT (solute, solvent) FROM m GROUP BY solute, solvent HAVING count(DISTINCT source) >= 4)"))

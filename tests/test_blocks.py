@@ -10,7 +10,7 @@ from test_oracles import _plain
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
-QUERIES = "excluded_pairs pairwise_shared_mae".split()
+QUERIES = "excluded_pairs pairwise_shared_mae range_gate".split()
 
 
 @pytest.mark.parametrize("name", QUERIES)
