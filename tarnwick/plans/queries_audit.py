@@ -125,7 +125,7 @@ def copycat_exact(spark, sf):
 
 @query(rounded_sql(COPIES, "SELECT solute, solvent, source1, source2, n_shared, mae FROM c WHERE kind = 'near'", "mae"))
 def copycat_near(spark, sf):
-    return rounded(_copies(spark, sf).where("kind = 'near'").select(*KEYS, "source1", "source2", "n_shared", "mae"))
+    return rounded(blocks.pair_maes(_rows(spark, sf), KEYS, "source", lambda t: ~t.exact & (t.mae < NEAR)).select(*KEYS, "source1", "source2", "n_shared", "mae"))
 
 
 TUPLES = "tu AS (SELECT solute, solvent, round_even(t, 1) AS t, round_even(y, 2) AS y, count(*) AS n, list_sort(list(DISTINCT source)) AS sources, count(DISTINCT source) AS n_sources FROM m GROUP BY ALL HAVING count(DISTINCT source) >= 2)"
