@@ -120,7 +120,7 @@ def synthetic_grid(spark, sf):
 
 @query(rounded_sql(COPIES.replace("3) = round_even(y2, 3)", "1) = round_even(y2, 1)"), "SELECT solute, solvent, source1, source2, n_shared FROM c WHERE kind = 'exact'"))
 def copycat_exact(spark, sf):
-    return audit.copies(pairs.pair_maes(_points(spark, sf), KEYS, digits=1)).where("kind = 'exact'").select(*KEYS, "source1", "source2", "n_shared")
+    return blocks.pair_maes(_rows(spark, sf), KEYS, "source", lambda t: t.exact, digits=1).select(*KEYS, "source1", "source2", "n_shared")
 
 
 @query(rounded_sql(COPIES, "SELECT solute, solvent, source1, source2, n_shared, mae FROM c WHERE kind = 'near'", "mae"))
