@@ -156,7 +156,8 @@ GROUPS = """e AS (SELECT source1 AS a, source2 AS b FROM c UNION SELECT source2,
 
 @query(rounded_sql(COPIES + ", " + GROUPS, "SELECT node AS source, min(root) AS group_id FROM reach GROUP BY node").replace("WITH m AS", "WITH RECURSIVE m AS", 1))
 def independence_groups(spark, sf):
-    return audit.independence_groups(_copies(spark, sf).select("source1", "source2").distinct(), measurements(spark, sf), "source")
+    rows = _rows(spark, sf)
+    return audit.independence_groups(blocks.copy_edges(rows, KEYS, "source", NEAR), measurements(spark, sf), "source")
 
 
 FINE = "f AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.solute = p.solute AND c.solvent = p.solvent AND c.source1 = p.source1 AND c.source2 = p.source2))"
