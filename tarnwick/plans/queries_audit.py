@@ -168,7 +168,7 @@ RELIABILITY = COPIES + ", " + FINE + """, h AS (SELECT solute, solvent, t, sourc
 
 @query(rounded_sql(RELIABILITY, "SELECT * FROM rel", "mae median_dev max_dev std_dev"))
 def source_reliability(spark, sf):
-    return rounded(audit.source_reliability(_readings(spark, sf), _copies(spark, sf), KEYS))
+    return rounded(blocks.source_reliability(_rows(spark, sf), KEYS, "source", NEAR))
 
 
 @query(rounded_sql(RELIABILITY, "SELECT source, mae, CASE WHEN mae <= 13e-2 THEN 'fame' ELSE 'shame' END AS kind FROM rel WHERE mae <= 13e-2 OR mae >= 16e-2", "mae"))
