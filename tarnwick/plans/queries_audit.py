@@ -173,7 +173,7 @@ def source_reliability(spark, sf):
 
 @query(rounded_sql(RELIABILITY, "SELECT source, mae, CASE WHEN mae <= 13e-2 THEN 'fame' ELSE 'shame' END AS kind FROM rel WHERE mae <= 13e-2 OR mae >= 16e-2", "mae"))
 def hall_of_fame(spark, sf):
-    return rounded(audit.fame(audit.source_reliability(_readings(spark, sf), _copies(spark, sf), KEYS), 0.13, 0.16).select("source", "mae", "kind"))
+    return rounded(audit.fame(blocks.source_reliability(_rows(spark, sf), KEYS, "source", NEAR), 0.13, 0.16).select("source", "mae", "kind"))
 
 
 VARIABILITY = COPIES + ", " + SPANS + ", " + FINE + """, g AS (SELECT f.* FROM f JOIN sp a ON a.solute = f.solute AND a.solvent = f.solvent AND a.source = f.source1 JOIN sp b ON b.solute = f.solute AND b.solvent = f.solvent AND b.source = f.source2
