@@ -183,7 +183,7 @@ VARIABILITY = COPIES + ", " + SPANS + ", " + FINE + """, g AS (SELECT f.* FROM f
 
 
 def _variability(spark, sf):
-    return audit.direct_variability(measurements(spark, sf), pairs.pair_statistics(_points(spark, sf), KEYS), KEYS, "source", "t")
+    return blocks.variability(_rows(spark, sf), KEYS, "source", NEAR)
 
 
 @query(rounded_sql(VARIABILITY, "SELECT * FROM vr", "mae rmse std max_dev"))
