@@ -48,11 +48,6 @@ def _points(spark, sf):
     return pairs.paired(_readings(spark, sf), KEYS, "source", "t", "y")
 
 
-def _statistics(spark, sf):
-    """Of each pair of sources; written once, since copies and disagreement both come from it."""
-    return materialise(pairs.pair_statistics(_points(spark, sf), KEYS))
-
-
 def _copies(spark, sf):
     return audit.copies(pairs.pair_maes(_points(spark, sf), KEYS))
 
@@ -313,11 +308,12 @@ ASSEMBLED = VARIABILITY + ", " + FITS + ", " + GOOD_FITS + """, gn AS (SELECT so
     UNION ALL SELECT solute, solvent, 'interpolated', n_comparisons, mae, rmse, std, max_dev FROM ix)"""
 
 
-def _assembled(spark, sf, statistics=None):
+def _assembled(spark, sf, rows=None):
     """Disagreement of each group's sources: of curves where two are fitted, else of readings."""
-    statistics, fitted = statistics or _statistics(spark, sf), materialise(_fits(spark, sf))
-    direct = audit.direct_variability(measurements(spark, sf), statistics, KEYS, "source", "t")
-    points = fits.interpolated(fitted, KEYS, "source", pairs.reference_grid, 0.5, 0.5, audit.copies(statistics).select(*KEYS, "source1", "source2"))
+    rows, fitted = rows or _rows(spark, sf), materialise(_fits(spark, sf))
+    direct = blocks.variability(rows, KEYS, "source", NEAR)
+    copied = blocks.copied_among(rows.join(fits.good_fits(fitted, 0.5).select(*TRIPLE), TRIPLE, "left_semi"), KEYS, "source", NEAR)
+    points = fits.interpolated(fitted, KEYS, "source", pairs.reference_grid, 0.5, 0.5, copied=copied)
     between = points.groupBy(*KEYS).agg(*audit.error_summary(F.col("y1") - F.col("y2")))
     return audit.variability(direct, between, fits.fitted_groups(fits.good_fits(fitted, 0.5), KEYS), KEYS)
 
@@ -340,15 +336,15 @@ GROUPED = GROUPS + ", grp AS (SELECT node AS source, min(root) AS g FROM reach G
 CONSENSUS = GROUPED + ", " + consensus_sql("mg", "g")
 
 
-def _grouped(spark, sf, copies):
+def _grouped(spark, sf, rows):
     """Measurements with the independence group of their source."""
-    rows = measurements(spark, sf)
-    return rows.join(audit.independence_groups(copies.select("source1", "source2").distinct(), rows, "source").withColumnRenamed("group_id", "g"), "source")
+    edges = blocks.copy_edges(rows, KEYS, "source", NEAR)
+    return measurements(spark, sf).join(audit.independence_groups(edges, rows, "source").withColumnRenamed("group_id", "g"), "source")
 
 
 @query(rounded_sql(COPIES + ", " + CONSENSUS, "SELECT * FROM con", "t value sigma", 4).replace("WITH m AS", "WITH RECURSIVE m AS", 1))
 def consensus_labels(spark, sf):
-    labels = tiers.consensus(_grouped(spark, sf, _copies(spark, sf)), KEYS, "g", "t", "y")
+    labels = tiers.consensus(_grouped(spark, sf, _rows(spark, sf)), KEYS, "g", "t", "y")
     return rounded(labels.withColumn("groups", F.array_join("groups", "|")), 4)
 
 
@@ -364,9 +360,9 @@ def tier_membership(spark, sf):
     "SELECT tier, solute, solvent, t, method, value, con.n_sources, sigma, groups, mae AS interlab_mae, sources FROM con JOIN tr USING (solute, solvent) JOIN told USING (solute, solvent)", "t value sigma interlab_mae", 4).replace("WITH m AS", "WITH RECURSIVE m AS", 1))
 def tier_rows(spark, sf):
     """Every label of every tier."""
-    rows, statistics = measurements(spark, sf), _statistics(spark, sf)
-    labels = tiers.consensus(_grouped(spark, sf, audit.copies(statistics)), KEYS, "g", "t", "y").withColumn("groups", F.array_join("groups", "|"))
-    return rounded(tiers.tier_rows(labels, tiers.tier_membership(_assembled(spark, sf, statistics).select(*KEYS, "mae")), KEYS, rows, "source"), 4)
+    rows, sources = measurements(spark, sf), _rows(spark, sf)
+    labels = tiers.consensus(_grouped(spark, sf, sources), KEYS, "g", "t", "y").withColumn("groups", F.array_join("groups", "|"))
+    return rounded(tiers.tier_rows(labels, tiers.tier_membership(_assembled(spark, sf, sources).select(*KEYS, "mae")), KEYS, rows, "source"), 4)
 
 
 @query()
