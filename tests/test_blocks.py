@@ -10,7 +10,7 @@ from test_oracles import _plain
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
-QUERIES = "excluded_pairs pairwise_shared_mae range_gate copycat_near copycat_exact independence_groups source_reliability hall_of_fame variability_direct stratified_limit composite_limit consensus_labels variability tier_membership".split()
+QUERIES = "excluded_pairs pairwise_shared_mae range_gate copycat_near copycat_exact independence_groups source_reliability hall_of_fame variability_direct stratified_limit composite_limit consensus_labels variability tier_membership tier_rows".split()
 
 
 @pytest.mark.parametrize("name", QUERIES)
