@@ -377,7 +377,7 @@ def bounded_fit(spark, sf):
 
 @query()
 def distribution_fit(spark, sf):
-    return fits.distribution_fits(_points(spark, sf).select(F.abs(F.col("y1") - F.col("y2")).alias("d")), "d")
+    return fits.distribution_fits(_differences(spark, sf), "d", "k")
 
 
 # --- metrics and roll-ups -----------------------------------------------------------------------------------------------

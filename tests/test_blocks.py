@@ -30,7 +30,7 @@ def test_blocks_and_no_points(spark, monkeypatch, name):
 def test_counted_differences_are_those_of_points(spark):
     from pyspark.sql import functions as F
 
-    from tarnwick.operators import audit
+    from tarnwick.operators import audit, fits
 
     rows = [("p", "v", f"s{i}", float(t), 0.01 * ((7 * i + t) % 5)) for i in range(9) for t in range(3)]
     df = spark.createDataFrame(rows, "a string, b string, source string, t double, y double")
@@ -40,3 +40,7 @@ def test_counted_differences_are_those_of_points(spark):
     by = lambda d: [tuple(r) for r in d.orderBy("cutoff").collect()]
     got, want = by(audit.counted_cutoffs(sizes, [0.0, 0.015, 0.035, 9.0])), by(audit.cutoff_sensitivity(points, [0.0, 0.015, 0.035, 9.0]))
     assert len(got) == 3 and all(g == pytest.approx(w) for g, w in zip(got, want, strict=True))
+    law = lambda d: {r["law"]: (r["location"], r["scale"], r["ks"]) for r in d.collect()}
+    one = law(fits.distribution_fits(sizes, "d", "k"))
+    two = law(fits.distribution_fits(points.select(F.abs(F.col("y1") - F.col("y2")).alias("d")), "d"))
+    assert all(one[k] == pytest.approx(two[k]) for k in two)
