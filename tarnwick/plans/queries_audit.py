@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarnwick.operators import audit, blocks, filters, fits, metrics, pairs, rollup, tiers
 from tarnwick.operators.graph import materialise
 from tarnwick.plans.queries_basic import FEATURES, _features
-from tarnwick.plans.views import KEYS, ORDER, RAW, measurements, rounded, rounded_sql
+from tarnwick.plans.views import KEYS, ORDER, RAW, by_source, measurements, rounded, rounded_sql
 from tarnwick.sources.tables import table
 
 QUERIES: dict = {}
@@ -39,9 +39,9 @@ def _readings(spark, sf):
     return pairs.readings(measurements(spark, sf), KEYS, "source", "t", "y", ORDER)
 
 
-def _rows(spark, sf):
+def _rows(spark, sf, fitted=False):
     """A row for each source of a group, with its readings; pairs are taken of these."""
-    return blocks.source_rows(measurements(spark, sf), KEYS, "source", "t", "y", ORDER)
+    return blocks.source_rows(by_source(spark, sf), KEYS, "source", "t", "y", ORDER, dealt=True, fitted=fitted)
 
 
 def _points(spark, sf):
@@ -301,7 +301,9 @@ def variability_interpolated(spark, sf):
 
 @query(rounded_sql(INTERPOLATED + ", " + VARIABILITY, "SELECT d, i, sqrt(d * d + 2 * i * i) AS composite FROM (SELECT (SELECT median(mae) FROM vr) AS d, (SELECT median(mae) FROM iv) AS i)", "d i composite", 5))
 def composite_limit(spark, sf):
-    return rounded(audit.composite_limit(_variability(spark, sf), "mae", _interpolated(spark, sf), "mae").select(F.col("direct").alias("d"), F.col("between").alias("i"), "composite"), 5)
+    rows = _rows(spark, sf, fitted=True)
+    between = fits.disagreement(fits.predicted(fits.good_fits(fits.solved(rows, TRIPLE), 0.5), KEYS, "source", pairs.reference_grid, 0.5), KEYS, "source")
+    return rounded(audit.composite_limit(blocks.variability(rows, KEYS, "source", NEAR), "mae", between, "mae").select(F.col("direct").alias("d"), F.col("between").alias("i"), "composite"), 5)
 
 
 # the interpolated branch is of fitted sources that aren't copies of all others
