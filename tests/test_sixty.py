@@ -48,3 +48,22 @@ def test_stratified_limit_writes_few_numbers_of_a_reading(spark):
     assert "concat_ws" in top and "concat_ws" not in below and "n_name" not in below.split("Join")[0] and plan.count("strategy=broadcast") >= 2
     found = {r["stratum"]: r["n"] for r in registry.QUERIES["stratified_limit"](spark, DIR).collect()}
     assert found["all"] > 0
+
+
+@pytest.mark.parametrize("witnesses", [1, 64])
+def test_copies_of_all_others(spark, monkeypatch, witnesses):
+    monkeypatch.setattr(blocks, "WITNESSES", witnesses)
+    monkeypatch.setattr(blocks, "BLOCK", 2)
+    values = {"g": [0.0, 0.006, 0.012, 0.018], "h": [0.0, 0.001, 0.002, 0.003], "i": [0.0, 0.004, 0.008, 0.012]}
+    rows = spark.createDataFrame([(k, "v", f"s{i}", [1.0, 2.0], [y, y + 1], 1.0, 2.0, 2) for k, ys in values.items() for i, y in enumerate(ys)], "a string, b string, source string, ts array<double>, ys array<double>, lo double, hi double, n long")
+    got = sorted((r["a"], r["source"]) for r in blocks.copies_of_all(rows, ["a", "b"], "source").collect())
+    assert got == [*(("h", f"s{i}") for i in range(4)), ("i", "s1"), ("i", "s2")]
+
+
+@pytest.mark.parametrize("name", ["variability"])
+def test_fitted_groups_are_not_paired(spark, monkeypatch, name):
+    def every(*_, **__):
+        raise AssertionError("all copies of fitted sources were counted")
+
+    monkeypatch.setattr(blocks, "copied_among", every)
+    assert registry.QUERIES[name](spark, DIR).limit(1).count() == 1
