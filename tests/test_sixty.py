@@ -60,7 +60,7 @@ def test_copies_of_all_others(spark, monkeypatch, witnesses):
     assert got == [*(("h", f"s{i}") for i in range(4)), ("i", "s1"), ("i", "s2")]
 
 
-@pytest.mark.parametrize("name", ["variability", "tier_membership"])
+@pytest.mark.parametrize("name", ["variability", "tier_membership", "tier_rows"])
 def test_fitted_groups_are_not_paired(spark, monkeypatch, name):
     def every(*_, **__):
         raise AssertionError("all copies of fitted sources were counted")
