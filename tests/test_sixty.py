@@ -50,6 +50,26 @@ def test_stratified_limit_writes_few_numbers_of_a_reading(spark):
     assert found["all"] > 0
 
 
+def test_composite_limit_takes_curves_without_pairs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tarnwick.operators import audit, fits
+
+    rng = random.Random(2)
+    told = spark.createDataFrame([("p", f"v{s % 2}", f"s{s}", float(t), round(rng.random(), 2)) for s in range(9) for t in range(2 + s % 3)], "a string, b string, source string, t double, y double")
+    one, two = (told.select("a", "b", "t", F.col("source").alias(f"source{i}"), F.col("y").alias(f"y{i}")) for i in (1, 2))
+    want = one.join(two, ["a", "b", "t"]).where("source1 < source2").groupBy("a", "b").agg(*audit.error_summary(F.col("y1") - F.col("y2")))
+    got = fits.disagreement(told, ["a", "b"], "source").select(want.columns)
+    for g, w in zip(got.orderBy("b").collect(), want.orderBy("b").collect(), strict=True):
+        assert tuple(g)[:2] == tuple(w)[:2] and tuple(g)[2:] == pytest.approx(tuple(w)[2:])
+
+    def paired(*_, **__):
+        raise AssertionError("curves were joined")
+
+    monkeypatch.setattr(fits, "interpolated", paired)
+    assert registry.QUERIES["composite_limit"](spark, DIR).count() == 1
+
+
 @pytest.mark.parametrize("witnesses", [1, 64])
 def test_copies_of_all_others(spark, monkeypatch, witnesses):
     monkeypatch.setattr(blocks, "WITNESSES", witnesses)
