@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwick.operators.blocks import SMALL
 from tarnwick.operators.fits import apelblat_fits, curve_at
+from tarnwick.operators.graph import materialise
 
 # Fixed limits of the nested tiers, on a pair's mean absolute difference.
 TIERS = {"gold": 0.1, "silver": 0.2, "bronze": 0.5}
@@ -20,8 +22,9 @@ def consensus(df: DataFrame, keys: list[str], group: str, t: str, y: str, least_
     """
     combine = F.avg if center == "mean" else F.median
     rows = df.select(*keys, F.col(group).alias("g"), F.col(t).alias("t"), F.col(y).alias("y")).where("t is not null and y is not null")
-    good = apelblat_fits(rows, [*keys, "g"], "t", "y").where((F.col("r2") >= least_r2) & (F.col("rmse") <= most_rmse))
-    fitted = good.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.max("t_min").alias("lo"), F.min("t_max").alias("hi")).where("k >= 2")
+    good = materialise(apelblat_fits(rows, [*keys, "g"], "t", "y").where((F.col("r2") >= least_r2) & (F.col("rmse") <= most_rmse)))
+    fitted = materialise(good.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.max("t_min").alias("lo"), F.min("t_max").alias("hi")).where("k >= 2"))
+    fitted = F.broadcast(fitted) if fitted.count() <= SMALL else fitted  # else all rows are shuffled for it
     measured = rows.select(*keys, "t").distinct().join(fitted.select(*keys, "lo", "hi"), keys)
     inside = (F.col("t") >= F.col("lo")) & (F.col("t") <= F.col("hi"))
     shared = measured.groupBy(*keys).agg(F.count_if(inside).alias("n_in"))
