@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnwick.operators import audit, blocks, filters, fits, metrics, pairs, rollup, tiers
+from tarnwick.operators import audit, blocks, filters, fits, metrics, pairs, rollup, spreads, tiers
 from tarnwick.operators.graph import materialise
 from tarnwick.plans.queries_basic import FEATURES, _features
-from tarnwick.plans.views import KEYS, ORDER, RAW, by_source, measurements, rounded, rounded_sql, small
+from tarnwick.plans.views import KEYS, ORDER, RAW, RID, by_source, by_temperature, measurements, rounded, rounded_sql, small
 from tarnwick.sources.tables import table
 
 QUERIES: dict = {}
@@ -53,6 +53,11 @@ def _differences(spark, sf):
     return materialise(pairs.differences(_readings(spark, sf), KEYS, "source", "t", "y"))
 
 
+def _values(spark, sf):
+    """The sources' values of each group and temperature, of which differences are taken."""
+    return spreads.values(by_temperature(spark, sf), KEYS, "source", "t", "y", list(RID), dealt="dealt", text=True)
+
+
 def _copies(spark, sf):
     return audit.copies(pairs.pair_maes(_points(spark, sf), KEYS))
 
@@ -204,7 +209,7 @@ def bias_decomposition(spark, sf):
 
 @query(rounded_sql(POINTS, "SELECT cutoff, count(*) AS n, avg(abs(y1 - y2)) AS mean, median(abs(y1 - y2)) AS median FROM p, (VALUES (0e0), (1e-2), (5e-2), (1e-1)) k(cutoff) WHERE abs(y1 - y2) >= cutoff GROUP BY cutoff", "cutoff mean median"))
 def cutoff_sensitivity(spark, sf):
-    return rounded(audit.counted_cutoffs(_differences(spark, sf), [0.0, 0.01, 0.05, 0.1]))
+    return rounded(spreads.cutoff_sensitivity(_values(spark, sf), [0.0, 0.01, 0.05, 0.1]))
 
 
 BOOT = """b0 AS (SELECT solute, solvent, avg(y) AS v FROM m GROUP BY ALL), b AS (SELECT *, row_number() OVER (ORDER BY solute, solvent) - 1 AS i, count(*) OVER () AS n FROM b0),
