@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tarnwick.operators.blocks import _lists, _ranks, part_of
 from tarnwick.operators.graph import written
 
-#: Values of a list whose differences to all larger ones are taken in one call, differences that are laid out at once, and that are put in order at once.
-CHUNK, CELLS, FEW = 4096, 1 << 20, 1 << 20
+#: Values of a list whose differences to all larger ones are taken in one call, differences that are laid out at once (of all, of some), and that are put in order at once.
+CHUNK, BLOCK, CELLS, FEW = 4096, 1 << 16, 1 << 20, 1 << 20
 #: Differences that tell where a rank is looked for; they don't change what is found.
 SAMPLE = 200_000
 #: Bits of a difference that the first counts leave out (2048 bins for each power of two), and bins of a later count.
@@ -143,6 +143,18 @@ class Values:
         k = self.k[self.i]
         return int((k * (k - 1) // 2).sum())
 
+    def every(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Differences of each value to all larger ones, and how often each is there, some at once."""
+        v, k, start, end = self.v, self.k, *((int(self.i[0]), int(self.i[-1]) + 1) if len(self.i) else (0, 0))
+        while start < end:
+            stop = min(end, start + max(1, min(64, BLOCK // len(v))))
+            one, two = np.triu_indices(stop - start, 1)
+            if len(one):
+                yield v[start + two] - v[start + one], k[start + two] * k[start + one]
+            if stop < len(v):
+                yield (v[stop:] - v[start:stop, None]).ravel(), (k[stop:] * k[start:stop, None]).ravel()
+            start = stop
+
     def pairs(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Differences of each value to those from a to b, and how often each is there, some at once."""
         sizes = b - a
@@ -314,3 +326,143 @@ def _ordered(lists: DataFrame, asked: list[tuple[float, float]]) -> list[tuple[n
         by = by[np.argsort(d[by], kind="stable")]
         out.append((d[by], w[by]))
     return out
+
+
+# --- laws -------------------------------------------------------------------------------------------------------------
+
+
+def _normal(z: np.ndarray) -> np.ndarray:
+    """fits._normal_cdf."""
+    a = np.abs(z)
+    k = 1 / (1 + 0.2316419 * a)
+    upper = np.exp(-a * a / 2) / 2.5066282746310002 * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))
+    return np.where(z >= 0, 1 - upper, upper)
+
+
+def distribution_fits(lists: DataFrame) -> DataFrame:
+    """fits.distribution_fits of the positive differences of ``values``. A law without spread has no distance.
+
+    Logarithms are taken of each pair of different values, in tasks. Differences are counted by their leading bits; where a law's distance can be the largest, by more of them, until
+    single differences are told apart, so the distance is that over all of them.
+    """
+    both = written(_over(lists, _moments, "n long, odd array<long>, sums array<double>, least double, code long, k long"))
+    told = _told(both.where("n is not null").select("n", "odd", "sums", "least"))
+    n, infinite, none = sum(r["n"] for r in told), sum(r["odd"][0] for r in told), sum(r["odd"][1] for r in told)
+    schema = "law string, location double, scale double, ks double"
+    made = lists.sparkSession.createDataFrame
+    if not n + infinite + none:
+        return made([(law, None, None, None) for law in ("lognormal", "exponential", "halfnormal")], schema)
+    total, odd = n + infinite + none, math.nan if none else math.inf
+    mean, square = ((odd if infinite + none else math.fsum(r["sums"][k] for r in told) / total) for k in (2, 3))
+    middle, spread = (math.fsum(r["sums"][k] for r in told) / max(n, 1) for k in (0, 1))
+    # the tasks' own means are merged, as a difference of large sums has few digits
+    between = math.fsum(r["n"] * (r["sums"][0] / r["n"] - middle) ** 2 for r in told if r["n"]) / max(n, 1)
+    m, s = (odd, math.nan) if infinite + none else (middle, math.sqrt(max(0.0, spread + between)))
+    low = min((r["least"] for r in told if r["n"]), default=odd)
+    rms = math.sqrt(square)
+    places = {"lognormal": (m, s), "exponential": (low, mean - low), "halfnormal": (0.0, rms)}
+    laws = {"lognormal": lambda x: _normal((np.log(x) - m) / s), "exponential": lambda x: 1 - np.exp(-(x - low) / (mean - low)), "halfnormal": lambda x: 2 * _normal(x / rms) - 1}
+    wanted = {law: f for law, f in laws.items() if math.isfinite(places[law][1]) and places[law][1] > 0}
+    far = distances(lists, both.where("code is not null").select("code", "k"), list(wanted.values()), n) if not infinite + none else [math.nan] * len(wanted)
+    ks = dict(zip(wanted, far, strict=True))
+    return made([(law, *place, math.nan if infinite + none else ks.get(law)) for law, place in places.items()], schema)
+
+
+def _moments(found: Iterator[Values]) -> pa.Table:
+    """A row of a task's positive differences: n, the mean logarithm times n, its squared deviations, differences, their squares, and the least one. Then how often each number without its last bits is there."""
+    n, odd, sums, least, held = 0, [0, 0], np.zeros(4), math.inf, _Counts()
+    for x in found:
+        odd = [odd[0] + x.odd[0], odd[1] + x.odd[1]]
+        for d, w in x.every():
+            held.add(d.view(np.int64) >> SHIFT, w)
+            log, k = np.log(d), int(w.sum())
+            middle = float(w @ log) / k
+            log -= middle
+            off = middle - (sums[0] / n if n else 0.0)
+            sums[1] += float(w @ (log * log)) + (off * off * n * k / (n + k) if n else 0.0)
+            sums += [middle * k, 0.0, float(w @ d), float(w @ (d * d))]
+            n, least = n + k, min(least, float(d.min()))
+    code, k = held.all()
+    first, rest = pa.table({"n": [n], "odd": [odd], "sums": [sums.tolist()], "least": [least]}), pa.table({"code": code, "k": k})
+    return pa.concat_tables([first, rest], promote_options="default")
+
+
+def distances(lists: DataFrame, counts: DataFrame, laws: list[Callable[[np.ndarray], np.ndarray]], n: int) -> list[float]:
+    """The largest distance of each law, a growing function, to the shares of the positive differences, of which there are n. counts: code, k of them without their last SHIFT bits."""
+    shift, best = SHIFT, [0.0] * len(laws)
+    code, k = _summed(counts)
+    below = np.cumsum(k) - k
+    while True:
+        least, most = (code << shift).view(float), ((code + 1 << shift) - 1).view(float)  # of a bin's differences
+        low, high = below / n, (below + k) / n
+        kept = np.zeros(len(code), bool)
+        for i, law in enumerate(laws):
+            one, two = law(least), law(most)
+            best[i] = max(best[i], float(np.max(np.maximum(np.maximum(one - low, low - two), np.maximum(high - two, one - high)), initial=0.0)))
+            kept |= np.maximum(two - low, high - one) > best[i]
+        if shift == 0 or not kept.any():
+            return best
+        code, k, below = code[kept], k[kept], below[kept]
+        bits = max(1, min(shift, int(math.log2(max(2, BINS // len(code))))))
+        finer, more = _coded(lists, shift - bits, bits, code)
+        at = np.searchsorted(code, finer >> bits)
+        before = np.cumsum(more) - more
+        start = np.concatenate(([0], np.cumsum(k)))[:-1]
+        code, k, below, shift = finer, more, below[at] + before - start[at], shift - bits
+
+
+def _summed(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    told = counts.groupBy("code").agg(F.sum("k").alias("k")).toArrow()
+    code, k = told["code"].to_numpy(), told["k"].to_numpy()
+    by = np.argsort(code)
+    return code[by], k[by]
+
+
+def _coded(lists: DataFrame, shift: int, bits: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positive differences' numbers without their last ``shift`` bits, of those that, less ``bits`` more, are ``among`` some: in order, and how often each is there."""
+    cuts = np.flatnonzero(np.diff(among) > 1)
+    cuts = np.sort(cuts[np.argsort(-np.diff(among)[cuts], kind="stable")[:7]])  # ranges that differences are taken of
+    first, last = among[np.concatenate(([0], cuts + 1)).astype(int)], among[np.concatenate((cuts, [len(among) - 1])).astype(int)]
+    number = lambda code: float(np.array([code << shift + bits]).view(float)[0])
+    ranges = [(max(number(a), TINY), number(b + 1)) for a, b in zip(first, last, strict=True)]
+
+    def use(found: Iterator[Values]) -> pa.Table:
+        held = _Counts()
+        for x in found:
+            for low, high in ranges:
+                for d, w in x.pairs(x.reach(low), x.reach(high)):
+                    code = d.view(np.int64) >> shift
+                    at = np.minimum(np.searchsorted(among, code >> bits), len(among) - 1)
+                    there = among[at] == code >> bits
+                    held.add(code[there], w[there])
+        code, k = held.all()
+        return pa.table({"code": code, "k": k})
+
+    return _summed(_over(lists, use, "code long, k long"))
+
+
+class _Counts:
+    """How often each number was added."""
+
+    def __init__(self):
+        self.code, self.k, self.parts, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, code: np.ndarray, k: np.ndarray) -> None:
+        if not len(code):
+            return
+        low = int(code.min())
+        if int(code.max()) - low < 1 << 18:  # sums of whole numbers below 2**53 are exact
+            few = np.bincount(code - low, k)
+            at = np.flatnonzero(few)
+            code, k = at + low, few[at].astype(np.int64)
+        self.parts.append((code, k))
+        self.size += len(code)
+        if self.size > 1 << 21:
+            self.all()
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        code, at = np.unique(np.concatenate([self.code, *(c for c, _ in self.parts)]), return_inverse=True)
+        k = np.zeros(len(code), np.int64)
+        np.add.at(k, at, np.concatenate([self.k, *(x for _, x in self.parts)]))
+        self.code, self.k, self.parts, self.size = code, k, [], 0
+        return code, k

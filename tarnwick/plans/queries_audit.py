@@ -387,7 +387,7 @@ def bounded_fit(spark, sf):
 
 @query()
 def distribution_fit(spark, sf):
-    return fits.distribution_fits(_differences(spark, sf), "d", "k")
+    return spreads.distribution_fits(_values(spark, sf))
 
 
 # --- metrics and roll-ups -----------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwick.operators import audit, pairs, spreads
+from tarnwick.operators import fits, pairs, spreads
 from tarnwick.plans import queries_audit, registry
 
 DIR = "/root/testdata/sf0.01"
@@ -68,3 +68,35 @@ def test_cutoff_sensitivity_shuffles_no_text(spark, monkeypatch):
 
     monkeypatch.setattr(pairs, "readings", readings)
     assert {r["cutoff"] for r in registry.QUERIES["cutoff_sensitivity"](spark, DIR).collect()} == {0.0, 0.01, 0.05, 0.1}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_laws_are_those_of_all_pairs(spark, monkeypatch, small):
+    if small:
+        for name, n in {"CHUNK": 7, "BINS": 512}.items():
+            monkeypatch.setattr(spreads, name, n)
+    df, lists, readings = _table(spark, 60)
+    every = [(d,) for d in _absolute(readings)]
+    want = {r["law"]: r for r in fits.distribution_fits(spark.createDataFrame(every, "d double"), "d").collect()}
+    got = {r["law"]: r for r in spreads.distribution_fits(lists).collect()}
+    assert got.keys() == want.keys() and all(tuple(got[k])[1:] == pytest.approx(tuple(want[k])[1:], abs=1e-9) for k in want)
+
+
+def test_laws_without_spread_and_of_nothing(spark):
+    rows = [("g", k, 1.0, float(k), 1) for k in range(2)]
+    df = lambda rows: spreads.values(spark.createDataFrame(rows, "a string, source long, t double, y double, o long"), ["a"], "source", "t", "y", ["o"])
+    told = {r["law"]: tuple(r)[1:] for r in spreads.distribution_fits(df(rows)).collect()}
+    assert told["lognormal"] == (0.0, 0.0, None) and told["exponential"] == (1.0, 0.0, None) and told["halfnormal"][:2] == (0.0, 1.0)
+    assert {tuple(r)[1:] for r in spreads.distribution_fits(df(rows[:1])).collect()} == {(None, None, None)}
+
+
+def test_distribution_fit_shuffles_no_text(spark, monkeypatch):
+    """Before, readings were reduced by the text rid, which filled the disk."""
+
+    def readings(*_, **__):
+        raise AssertionError("readings were shuffled with their text")
+
+    old = {r["law"]: tuple(r)[1:] for r in fits.distribution_fits(queries_audit._differences(spark, DIR), "d", "k").collect()}
+    monkeypatch.setattr(pairs, "readings", readings)
+    got = {r["law"]: tuple(r)[1:] for r in registry.QUERIES["distribution_fit"](spark, DIR).collect()}
+    assert all(got[k] == pytest.approx(old[k], abs=1e-9) for k in old)
